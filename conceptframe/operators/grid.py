@@ -17,6 +17,11 @@ from conceptframe.schema import EVENTS, OK, SCORE_COLUMNS, Refused
 CONTROL_TOKENS = ("<|", "[mask]", "<think>", "</think>", "[inst]", "[/inst]", "<<sys>>")
 
 
+def literal_rows(rows: Sequence[dict], fields: str) -> Column:
+    """Configuration rows as one constant array of structs (folded to a literal by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+
+
 @dataclass(frozen=True)
 class Anchor:
     id: str
@@ -74,12 +79,12 @@ class Instrument:
         return hashlib.sha256(json.dumps(coordinates, sort_keys=True).encode()).hexdigest()
 
     def anchor_structs(self) -> Column:
-        return F.array(*[F.struct(F.lit(a.id).alias("anchor_id"), F.lit(a.surface).alias("anchor_surface"),
-                                  F.lit(i).alias("anchor_position")) for i, a in enumerate(self.anchors)])
+        rows = [{"anchor_id": a.id, "anchor_surface": a.surface, "anchor_position": i} for i, a in enumerate(self.anchors)]
+        return literal_rows(rows, "anchor_id string, anchor_surface string, anchor_position int")
 
     def bridge_structs(self) -> Column:
-        return F.array(*[F.struct(F.lit(b.id).alias("bridge_id"), F.lit(b.prefix).alias("bridge_prefix"),
-                                  F.lit(b.relation).alias("relation")) for b in self.bridges])
+        rows = [{"bridge_id": b.id, "bridge_prefix": b.prefix, "relation": b.relation} for b in self.bridges]
+        return literal_rows(rows, "bridge_id string, bridge_prefix string, relation string")
 
     def anchors_df(self, spark) -> DataFrame:
         rows = [(a.id, a.surface, a.language, i) for i, a in enumerate(self.anchors)]

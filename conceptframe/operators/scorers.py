@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from conceptframe.functions import vectors
 from conceptframe.functions.text import tokens
 from conceptframe.operators.checks import refuse_rows, same_keys, small_rows
-from conceptframe.operators.grid import CONTROL_TOKENS, Instrument, finish_scores, grid
+from conceptframe.operators.grid import CONTROL_TOKENS, Instrument, finish_scores, grid, literal_rows
 from conceptframe.schema import BOUNDARY, BUDGET, MEDIA, OK, Refused
 
 END = "</s>"
@@ -58,14 +58,6 @@ def fit_language_model(train: DataFrame, instrument: Instrument, text: str = "te
     return LanguageModel(int(row["total"]), int(row["distinct"]), {r["term"]: int(r["n"]) for r in row["counts"]}, mu)
 
 
-def _occurrences(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(word)))
-
-
-def _literal_ints(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values])
-
-
 def query_likelihood(samples: DataFrame, instrument: Instrument, model: LanguageModel, *, text: str = "text",
                      keep: Sequence[str] = (), media_missing: Column | None = None,
                      token_details: bool = False) -> DataFrame:
@@ -76,55 +68,46 @@ def query_likelihood(samples: DataFrame, instrument: Instrument, model: Language
     instrument enters as literals.
     """
     vocab = vocabulary(instrument)
-    words = F.col("_tokens")
-    hits = F.filter(words, lambda t: t.isin(vocab)) if vocab else F.array()
-    counts = F.array(*[_occurrences(F.col("_hits"), v) for v in vocab])
-    base = (samples.withColumn("_tokens", tokens(F.col(text)))
-            .withColumn("_hits", hits)
-            .select("sample_id", *[k for k in keep if k != "sample_id"], text,
-                    F.size("_tokens").alias("_len"), counts.alias("_tf"),
-                    *([media_missing.alias("_missing")] if media_missing is not None else [])))
-    bridges = F.array(*[F.struct(
-        F.lit(b.id).alias("bridge_id"), F.lit(b.prefix).alias("bridge_prefix"), F.lit(b.relation).alias("relation"),
-        F.lit(len(surface_tokens(b.prefix))).alias("_blen"),
-        _literal_ints([surface_tokens(b.prefix).count(v) for v in vocab]).alias("_btf")) for b in instrument.bridges])
     at = {v: i + 1 for i, v in enumerate(vocab)}
-    anchors = F.array(*[F.struct(
-        F.lit(a.id).alias("anchor_id"), F.lit(a.surface).alias("anchor_surface"), F.lit(i).alias("anchor_position"),
-        F.array(*[F.lit(at[t]) for t in surface_tokens(a.surface)]).cast("array<int>").alias("_terms"))
-        for i, a in enumerate(instrument.anchors)])
-    floor = 1.0 / (model.total + model.distinct)
-    smooth = F.array(*[F.lit(model.mu * model.background(v)) for v in vocab])
-    cells = base.select("*", F.inline(bridges)).select("*", F.inline(anchors))
+    lowered = F.lower(F.col(text))
+    unusable = F.col(text).isNull() | F.exists(F.lit(list(CONTROL_TOKENS)), lambda m: F.contains(lowered, m))
+    hits = F.filter("_tokens", lambda t: t.isin(vocab))
+    counts = F.transform(F.lit(vocab), lambda v: F.size(F.filter("_hits", lambda h: h == v)))
+    carried = [k for k in keep if k != "sample_id"]
+    # Everything that needs the text happens here, once per material and before the expansion.
+    base = (samples.select("sample_id", *carried, F.coalesce(tokens(F.col(text)), F.array()).alias("_tokens"),
+                           unusable.alias("_unusable"),
+                           *([media_missing.alias("_missing")] if media_missing is not None else []))
+            .withColumn("_hits", hits)
+            .withColumn("_len", F.size("_tokens")).withColumn("_tf", counts).drop("_tokens", "_hits"))
+    bridges = []
+    for b in instrument.bridges:
+        words = surface_tokens(b.prefix)
+        bridges.append({"bridge_id": b.id, "bridge_prefix": b.prefix, "relation": b.relation, "_blen": len(words),
+                        "_btf": [words.count(v) for v in vocab]})
+    anchors = [{"anchor_id": a.id, "anchor_surface": a.surface,
+                "_terms": [{"i": at[t], "prior": model.mu * model.background(t)} for t in surface_tokens(a.surface)]}
+               for a in instrument.anchors]
+    cells = (base
+             .select("*", F.inline(literal_rows(bridges, "bridge_id string, bridge_prefix string, relation string, _blen int, _btf array<int>")))
+             .select("*", F.inline(literal_rows(anchors, "anchor_id string, anchor_surface string, _terms array<struct<i:int,prior:double>>"))))
     length = F.col("_len") + F.col("_blen") + F.lit(model.mu)
-
-    def token_logp(i):
-        tf = F.element_at("_tf", i) + F.element_at("_btf", i)
-        return F.log((tf + F.element_at(smooth, i)) / length)
-
-    logps = F.transform("_terms", token_logp)
+    logps = F.transform("_terms", lambda t: F.log(
+        (F.element_at("_tf", t["i"]) + F.element_at("_btf", t["i"]) + t["prior"]) / length))
     if instrument.event == "turn_terminated":
-        logps = F.concat(logps, F.array(F.log(F.lit(model.mu * floor) / length)))
-    missing = F.col("_missing") if media_missing is not None else None
+        logps = F.concat(logps, F.array(F.log(F.lit(model.mu / (model.total + model.distinct)) / length)))
+    limits, n_anchor = instrument.budgets, F.size("_terms")
+    over = ((F.col("_len") > limits.text_tokens) | (n_anchor > limits.anchor_tokens)
+            | (F.col("_len") + F.col("_blen") + n_anchor > limits.total_tokens))
+    status = F.when(F.col("_unusable") | (n_anchor < 1), BOUNDARY).when(over, BUDGET).otherwise(OK)
+    if media_missing is not None:
+        status = F.when(F.col("_missing"), MEDIA).otherwise(status)
     scored = (cells
               .withColumn("token_logps", logps)
               .withColumn("raw_logp", F.aggregate("token_logps", F.lit(0.0), lambda s, v: s + v))
               .withColumn("token_count", F.size("token_logps"))
-              .withColumn("status", _cheap_status(text, instrument, missing)))
-    extra = [*keep, *(["token_logps"] if token_details else [])]
-    return finish_scores(scored, instrument, [k for k in extra if k != "sample_id"])
-
-
-def _cheap_status(text: str, instrument: Instrument, media_missing: Column | None) -> Column:
-    """Status from the counts that the cell already carries (no second tokenization)."""
-    lowered, control = F.lower(F.col(text)), F.lit(False)
-    for marker in CONTROL_TOKENS:
-        control = control | lowered.contains(marker)
-    b, n_anchor = instrument.budgets, F.size("_terms")
-    over = ((F.col("_len") > b.text_tokens) | (n_anchor > b.anchor_tokens)
-            | (F.col("_len") + F.col("_blen") + n_anchor > b.total_tokens))
-    rest = F.when(F.col(text).isNull() | control | (n_anchor < 1), BOUNDARY).when(over, BUDGET).otherwise(OK)
-    return rest if media_missing is None else F.when(media_missing, MEDIA).otherwise(rest)
+              .withColumn("status", status))
+    return finish_scores(scored, instrument, [*carried, *(["token_logps"] if token_details else [])])
 
 
 ScoreBatch = Callable[[pd.DataFrame], pd.DataFrame]

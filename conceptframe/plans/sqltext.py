@@ -84,7 +84,9 @@ def with_scores(body: str, *extra: str) -> str:
 
 
 def with_samples(body: str, *extra: str) -> str:
-    return "WITH " + ",".join([SAMPLES, *extra]) + "\n" + body
+    """Body over the samples; a body that starts with a comma brings further CTEs of its own."""
+    glue = "" if body.lstrip().startswith(",") else "\n"
+    return "WITH " + ",".join([SAMPLES, *extra]) + glue + body.lstrip() if not glue else "WITH " + ",".join([SAMPLES, *extra]) + "\n" + body
 
 
 def r9(expr: str, name: str) -> str:
