@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tokenfiles", "tokencounts", "decontaminate")
+MODULES = ("jaccard", "tokenfiles", "tokencounts", "decontaminate")
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
