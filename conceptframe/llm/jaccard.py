@@ -3,10 +3,12 @@
 Documents become sets of word-shingle hashes; equal sets are one class. Classes that share a minimum
 under one of a few hash orders form a group (no decision rests on that: a group only says what is
 looked at together; large ones are split into groups of at most `MEMBERS`). The matrix stores, for
-every token, the groups whose union holds it. A class and a group come together if a token of the
-class's prefix is in the group's part of the matrix: 0.8 of a set must be shared, so the smallest
-shared token is among the first fifth of both sets. Only then a group is opened: first the overlap
-of each class with the union of the other group must reach 0.8 of its size, then set meets set.
+every token of its members' prefixes, the groups whose union holds it. 0.8 of a set must be shared
+by a link, so the first tokens of two linked sets, a fifth and k more of each, share at least k
+(k is a fiftieth of the set and one). A class and a group therefore come together only if that many
+of the class's tokens are in the group's part of the matrix, from members of a fitting size. Only
+then the group is opened: first the overlap of each class with the union of the other group must
+reach 0.8 of its size, then set meets set.
 
 Tokens are ordered by hash, but those of very many documents come last, so that a passage that
 thousands of documents share is in hardly any prefix. Counts for that order are taken over all
@@ -37,9 +39,9 @@ from conceptframe.llm.shared import documents, kept, spread
 
 NAME = "op2_jaccard_join"
 WORDS, PERCENT = 5, 80
-ORDERS = 4
+ORDERS = 8  # taken two by two, so that a group's members mostly are near copies
 MEMBERS = 1000
-PAIRWISE = 8  # groups of one token that are paired off; longer lists are opened as one
+LONG = 512  # classes under one token; longer lists are opened as a whole
 POSTINGS = 2_000_000  # in a bucket of the matrix
 COMMON_MOST = 500_000  # tokens that the order puts last
 _FACTORS = mix(np.arange(11, 11 + 64, dtype=U64)) | U64(1)
@@ -96,6 +98,11 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared_at_least(size):
+    """k: so many tokens more than needed for one in common are in a prefix."""
+    return 1 + size // 50
+
+
 def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -103,7 +110,7 @@ def _binary(values: list[bytes]) -> pa.Array:
 def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes of the tokens that most documents have, rarest first; counted over all documents.
 
-    A task reports tokens found in at least one in 256 of its distinct sets; the sums are filtered
+    A task reports tokens found in at least one in 2048 of its distinct sets; the sums are filtered
     again, and no more than `COMMON_MOST` go to the driver.
     """
 
@@ -112,7 +119,7 @@ def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
 
         def report() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, U64), return_counts=True)
-            many = counts >= max(8, sets // 256)
+            many = counts >= max(4, sets // 2048)
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
 
         for _, data, offsets in blocks(batches):
@@ -147,16 +154,16 @@ def described(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
             tokens, bounds = shingle_sets(data, offsets, words)
             size = np.diff(bounds)
             full = np.flatnonzero(size)
-            minima = np.zeros((len(size), ORDERS), U64)
-            for k in range(ORDERS):
-                if len(full):
-                    minima[full, k] = np.minimum.reduceat(mix(tokens ^ _FACTORS[30 + k]), bounds[:-1][full])
+            minima = np.zeros((len(size), ORDERS // 2), U64)
+            for k in range(ORDERS if len(full) else 0):
+                low = np.minimum.reduceat(mix(tokens ^ _FACTORS[30 + k]), bounds[:-1][full])
+                minima[full, k // 2] = mix(minima[full, k // 2] + low)
             key = tokens >> U64(1)
             if len(late):
                 at = np.minimum(np.searchsorted(late_sorted, tokens), len(late) - 1)
                 hit = late_sorted[at] == tokens
                 key[hit] = U64(1 << 63) + by[at[hit]].astype(U64)
-            need = size - (percent * size + 99) // 100 + 1
+            need = np.minimum(size - (percent * size + 99) // 100 + shared_at_least(size), size)
             need[size == 0] = 0
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((key, row))
@@ -165,7 +172,7 @@ def described(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
             sign = signatures(tokens, bounds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), _binary([s.tobytes() for s in sign]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * ORDERS, pa.int32()), pa.array(minima.reshape(-1).view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (ORDERS // 2), pa.int32()), pa.array(minima.reshape(-1).view(np.int64))),
                  _binary([prefix[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])],
                 ["doc_id", "n", "sig", "minima", "prefix"])
 
@@ -188,26 +195,26 @@ def grouped(described_rows: DataFrame) -> DataFrame:
         F.when(F.col("members") == 1, F.col("sid")).otherwise(F.xxhash64("hub", F.pmod(F.xxhash64("sid"), "parts"))).alias("gid")), "groups")
 
 
-def meetings(described_rows: DataFrame, groups: DataFrame) -> DataFrame:
+def meetings(described_rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(lo, hi, sid): which classes are looked at when the groups lo and hi are held together."""
     spark = groups.sparkSession
     total = described_rows.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = spread(spark, -(-total // 8 // POSTINGS))
     rows = described_rows.filter("n > 0").select("doc_id", "sig", "prefix").join(
-        groups.select("sig", "sid", "gid", "rep"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "gid", "prefix")
+        groups.select("sig", "sid", "gid", "rep", "n"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "gid", "n", "prefix")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         pack = zstandard.ZstdCompressor(1)
 
         def flush() -> pa.RecordBatch:
-            token, sid, gid = (np.concatenate(c) for c in zip(*held))
+            token, sid, gid, n = (np.concatenate(c) for c in zip(*held))
             bucket = ((token >> U64(20)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            token, sid, gid, bucket = token[order], sid[order], gid[order], bucket[order]
+            token, sid, gid, n, bucket = token[order], sid[order], gid[order], n[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cut))
-            own = [_packed(pack, token[a:b], sid[a:b], gid[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())]
+            own = [_packed(pack, token[a:b], sid[a:b], gid[a:b], n[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())]
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _binary(own)], ["bucket", "part"])
 
         for batch in batches:
@@ -216,7 +223,7 @@ def meetings(described_rows: DataFrame, groups: DataFrame) -> DataFrame:
             prefix = batch.column("prefix")
             lengths = np.array([len(p) >> 3 for p in prefix.to_pylist()])
             token = np.frombuffer(b"".join(prefix.to_pylist()), U64)
-            held.append((token, np.repeat(batch.column("sid").to_numpy(), lengths), np.repeat(batch.column("gid").to_numpy(), lengths)))
+            held.append((token, *[np.repeat(batch.column(c).to_numpy(), lengths) for c in ("sid", "gid", "n")]))
             size += len(token)
             if size > POSTINGS:
                 yield flush()
@@ -227,30 +234,44 @@ def meetings(described_rows: DataFrame, groups: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _runs(batches, "bucket", "part"):
             columns = [np.concatenate(c) for c in zip(*[_unpacked(p) for p in parts])]
-            lo, hi, sid = _met(*columns)
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(sid)], ["lo", "hi", "sid"])
+            for lists, found in zip((0, 1), _met(*columns, percent)):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.full(len(found[0]), lists, np.int32))], ["x", "y", "sid", "c", "lists"])
 
     parts = rows.mapInArrow(scatter, "bucket int, part binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    across = parts.mapInArrow(gather, "lo bigint, hi bigint, sid bigint").distinct()
-    return across.unionByName(groups.filter("members > 1").select(F.col("gid").alias("lo"), F.col("gid").alias("hi"), "sid"))
+    found = parts.mapInArrow(gather, "x bigint, y bigint, sid bigint, c bigint, lists int")
+    # x: the class's own group, y: the other one, c: its tokens there, from one bucket
+    counted = found.filter("lists = 0").groupBy("sid", "x", "y").agg(F.sum("c").alias("c")).join(groups.select("sid", "n"), "sid")
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    near = counted.filter(F.col("c") >= shared_at_least_sql(least)).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "sid")
+    whole = found.filter("lists = 1").select(F.col("x").alias("lo"), F.col("y").alias("hi"), "sid").distinct()
+    own = groups.filter("members > 1").select(F.col("gid").alias("lo"), F.col("gid").alias("hi"), "sid")
+    return near.unionByName(whole).unionByName(own)
+
 
+def shared_at_least_sql(size):
+    return 1 + F.floor(size / 50)
 
-def _packed(pack, token: np.ndarray, sid: np.ndarray, gid: np.ndarray) -> bytes:
+
+def _packed(pack, token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray) -> bytes:
     steps = pack.compress(np.diff(sid, prepend=0).tobytes())
+    sizes = pack.compress(size.astype("<i8").tobytes())
     other = np.flatnonzero(gid != sid)
-    return b"".join([np.array([len(token), len(steps), len(other)], "<i8").tobytes(), token.tobytes(), steps,
+    return b"".join([np.array([len(token), len(steps), len(sizes), len(other)], "<i8").tobytes(), token.tobytes(), steps, sizes,
                      other.astype("<i4").tobytes(), gid[other].astype("<i8").tobytes()])
 
 
-def _unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, steps, others = np.frombuffer(part, "<i8", 3).tolist()
-    token = np.frombuffer(part, U64, n, 24)
-    at = 24 + 8 * n
-    sid = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(part[at:at + steps]), "<i8"))
+def _unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, steps, sizes, others = np.frombuffer(part, "<i8", 4).tolist()
+    unpack = zstandard.ZstdDecompressor()
+    token = np.frombuffer(part, U64, n, 32)
+    at = 32 + 8 * n
+    sid = np.cumsum(np.frombuffer(unpack.decompress(part[at:at + steps]), "<i8"))
     at += steps
+    size = np.frombuffer(unpack.decompress(part[at:at + sizes]), "<i8")
+    at += sizes
     gid = sid.copy()
     gid[np.frombuffer(part, "<i4", others, at)] = np.frombuffer(part, "<i8", others, at + 4 * others)
-    return token, sid, gid
+    return token, sid, gid, size
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[list[bytes]]:
@@ -267,54 +288,69 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[l
         yield held
 
 
-def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Meetings from one bucket of the matrix."""
+def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray, percent: int) -> tuple[tuple, tuple]:
+    """Meetings from one bucket of the matrix: (own group, other group, class, tokens shared), and the
+    classes of lists too long for that: (list, part, class, 0)."""
     order = np.argsort(token, kind="stable")
     t = token[order]
     same = np.zeros(len(t), bool)
     same[1:] = t[1:] == t[:-1]
     same[:-1] |= same[1:]
     order = order[same]  # tokens of one class alone meet nobody
-    order = order[np.lexsort((sid[order], gid[order], token[order]))]
-    token, sid, gid = token[order], sid[order], gid[order]
-    new_token = np.ones(len(token), bool)
-    new_token[1:] = token[1:] != token[:-1]
-    new_run = new_token.copy()
-    new_run[1:] |= gid[1:] != gid[:-1]
-    run = np.flatnonzero(new_run)  # a run: one token in one group
-    run_size = np.diff(np.append(run, len(token)))
-    first = np.flatnonzero(new_token[run])  # a token's first run
-    groups = np.diff(np.append(first, len(run)))
-    los, his, sids = [], [], []
-    for g in range(2, PAIRWISE + 1):
-        base = first[groups == g]
-        for i in range(g) if len(base) else ():
-            for j in range(i + 1, g):
-                for side in (base + i, base + j):
-                    at = ranges(run[side], run_size[side])
-                    sids.append(sid[at])
-                    los.append(np.repeat(gid[run[base + i]], run_size[side]))
-                    his.append(np.repeat(gid[run[base + j]], run_size[side]))
-    seen = set()
-    for f, g in zip(first[groups > PAIRWISE].tolist(), groups[groups > PAIRWISE].tolist()):
-        start, end = run[f], run[f + g - 1] + run_size[f + g - 1]
-        members = np.unique(sid[start:end])
-        name = int(np.bitwise_xor.reduce(mix(members.astype(U64) + U64(7))) >> U64(1))
+    order = order[np.lexsort((sid[order], size[order], token[order]))]
+    token, sid, gid, size = token[order], sid[order], gid[order], size[order]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    heads = np.flatnonzero(first)
+    counts = np.diff(np.append(heads, len(token)))
+    long = np.repeat(counts > LONG, counts)
+    number = np.cumsum(first) - 1
+    mine, other, who, by = [], [], [], []
+    live, step = np.flatnonzero(~long), 1
+    while len(live):  # the next class of a list, then the one after it, while sizes fit
+        live = live[live + step < len(token)]
+        there = live + step
+        live = live[(number[there] == number[live]) & (100 * size[live] >= percent * size[there])]
+        there = live + step
+        differ = gid[live] != gid[there]
+        for a, b in ((live[differ], there[differ]), (there[differ], live[differ])):
+            mine.append(gid[a])
+            other.append(gid[b])
+            who.append(sid[a])
+            by.append(number[a])
+        step += 1
+    none = np.zeros(0, np.int64)
+    near = (none, none, none, none)
+    if sum(map(len, who)):
+        who, other, by, mine = (np.concatenate(c) for c in (who, other, by, mine))
+        order = np.lexsort((by, other, who))
+        who, other, by, mine = who[order], other[order], by[order], mine[order]
+        pair = np.ones(len(who), bool)
+        pair[1:] = (who[1:] != who[:-1]) | (other[1:] != other[:-1])
+        fresh = pair.copy()
+        fresh[1:] |= by[1:] != by[:-1]
+        at = np.flatnonzero(pair)
+        near = (mine[at], other[at], who[at], np.add.reduceat(fresh.astype(np.int64), at))
+    lists, parts, members, seen = [], [], [], set()
+    for h, n in zip(heads[counts > LONG].tolist(), counts[counts > LONG].tolist()):
+        own = np.unique(sid[h:h + n])
+        if len(np.unique(gid[h:h + n])) < 2:
+            continue
+        name = int(np.bitwise_xor.reduce(mix(own.astype(U64) + U64(7))) >> U64(1))
         if name in seen:
             continue
         seen.add(name)
-        chunks = np.array_split(members, -(-len(members) // MEMBERS))
+        chunks = np.array_split(own, -(-len(own) // MEMBERS))
         for i, a in enumerate(chunks):
             for j in range(i, len(chunks)) if len(chunks) == 1 else range(i + 1, len(chunks)):
                 both = a if i == j else np.concatenate([a, chunks[j]])
-                sids.append(both)
-                los.append(np.full(len(both), name, np.int64))
-                his.append(np.full(len(both), -1 - (i * len(chunks) + j), np.int64))
-    if not sids:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    out = np.unique(np.stack([np.concatenate(los), np.concatenate(his), np.concatenate(sids)]), axis=1)
-    return out[0], out[1], out[2]
+                members.append(both)
+                lists.append(np.full(len(both), name, np.int64))
+                parts.append(np.full(len(both), -1 - (i * len(chunks) + j), np.int64))
+    if not members:
+        return near, (none, none, none, none)
+    who = np.concatenate(members)
+    return near, (np.concatenate(lists), np.concatenate(parts), who, np.zeros(len(who), np.int64))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -414,7 +450,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = kept(described(docs, common_tokens(docs, words), words, percent), "sets")
     groups = grouped(rows)
-    links = kept(opened(docs, groups, meetings(rows, groups), words, percent), "stars")
+    links = kept(opened(docs, groups, meetings(rows, groups, percent), words, percent), "stars")
     roots = components(links)
     named = groups.select("sid", "sig", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
