@@ -8,7 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("sharding", "jaccard", "repeats", "mixing", "nearest", "tokenfiles", "tokencounts", "decontaminate")
+MODULES = ("sharding", "jaccard", "repeats", "toxicity", "secrets", "mixing", "nearest", "tokenfiles",
+           "tokencounts", "decontaminate")
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
