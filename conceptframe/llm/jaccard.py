@@ -43,6 +43,7 @@ ORDERS = 8  # taken two by two, so that a group's members mostly are near copies
 MEMBERS = 1000
 LONG = 512  # classes under one token; longer lists are opened as a whole
 POSTINGS = 2_000_000  # in a bucket of the matrix
+COMMON = 24
 COMMON_MOST = 500_000  # tokens that the order puts last
 _FACTORS = mix(np.arange(11, 11 + 64, dtype=U64)) | U64(1)
 
@@ -110,16 +111,16 @@ def _binary(values: list[bytes]) -> pa.Array:
 def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes of the tokens that most documents have, rarest first; counted over all documents.
 
-    A task reports tokens found in at least one in 2048 of its distinct sets; the sums are filtered
-    again, and no more than `COMMON_MOST` go to the driver.
+    A task reports the tokens that it has found in two distinct sets or more; those with `COMMON` and
+    more in sum are common, and the `COMMON_MOST` most frequent of them go to the driver.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, sets, seen = [], 0, 0, set()
+        held, size, seen = [], 0, set()
 
         def report() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, U64), return_counts=True)
-            many = counts >= max(4, sets // 2048)
+            many = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
 
         for _, data, offsets in blocks(batches):
@@ -130,13 +131,12 @@ def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
                     seen.add(s)
                     held.append(tokens[bounds[i]:bounds[i + 1]])
                     size += len(held[-1])
-                    sets += 1
             if size > 4_000_000:
                 yield report()
-                held, size, sets, seen = [], 0, 0, set()
+                held, size, seen = [], 0, set()
         yield report()
 
-    rows = docs.mapInArrow(work, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 32")
+    rows = docs.mapInArrow(work, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     found = rows.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toPandas()
     return found.token.to_numpy(np.int64).view(U64)[::-1].copy()
 
