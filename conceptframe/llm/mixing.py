@@ -139,12 +139,15 @@ def temperature_mix(docs: DataFrame, target: float = TARGET, most_repeats: float
                        (F.col("passes") + F.when(last, 1).otherwise(0)).cast("int").alias("copies")).filter("copies > 0")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
-    plan = temperature_mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "copies")
-    tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (tie == F.col("_tie")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    doc, text, source = (names[c] for c in (id_column, text_column, source_column))
+    plan = temperature_mix(docs, id_column=id_column, text_column=text_column, source_column=source_column, **options)
+    tie = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    both = rows.join(plan, F.col(doc).eqNullSafe(F.col("doc_id")) & F.col(source).eqNullSafe(F.col("source")) & (tie == F.col("tie")))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

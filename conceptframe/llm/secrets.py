@@ -62,7 +62,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # an assignment inside the run belongs to the path
     name = F.regexp_extract("value", r"^([A-Za-z_-]*=)", 1)
     return one.select(
-        "doc_id", "word", "run", F.concat(F.substring_index("own", F.col("value"), 1), name).alias("path"),
+        "doc_id", "word", "run", F.concat(F.expr("substring(own, 1, locate(value, own) - 1)"), name).alias("path"),
         F.expr("substring(value, length(regexp_extract(value, '^([A-Za-z_-]*=)', 1)) + 1)").alias("value"), "before", "earlier", "after"
     ).filter((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]"))
 
