@@ -51,3 +51,19 @@ def interval(values: Column, confidence: float = 0.95) -> tuple[Column, Column]:
     """Percentile interval with linear interpolation, as two aggregates."""
     tail = (1 - confidence) / 2
     return F.percentile(values, F.lit(tail)), F.percentile(values, F.lit(1 - tail))
+
+
+def mid_ranks_of(values: Column | str) -> Column:
+    """Mid-ranks inside an array whose size is bounded by the instrument."""
+    return F.transform(values, lambda x: F.aggregate(values, F.lit(0.5), lambda r, y: r + F.when(y < x, 1.0).when(y == x, 0.5).otherwise(0.0)))
+
+
+def rank_agreement(a: str, b: str) -> Column:
+    """Spearman of two arrays of one length; NULL if a side is constant."""
+    ra, rb = mid_ranks_of(F.col(a)), mid_ranks_of(F.col(b))
+    middle = (F.size(a) + 1) / F.lit(2.0)
+    both = F.arrays_zip(ra.alias("x"), rb.alias("y"))
+    sums = F.aggregate(both, F.struct(*[F.lit(0.0).alias(n) for n in ("xy", "xx", "yy")]), lambda s, v: F.struct(
+        (s["xy"] + (v["x"] - middle) * (v["y"] - middle)).alias("xy"), (s["xx"] + (v["x"] - middle) * (v["x"] - middle)).alias("xx"),
+        (s["yy"] + (v["y"] - middle) * (v["y"] - middle)).alias("yy")))
+    return F.when((sums["xx"] > 0) & (sums["yy"] > 0), sums["xy"] / F.sqrt(sums["xx"] * sums["yy"]))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptframe.functions.numeric import finite
-from conceptframe.operators.checks import refuse_rows, require_columns
+from conceptframe.operators.checks import refuse_rows, refused_if, require_columns
 from conceptframe.operators.grid import Instrument
 from conceptframe.schema import OK, REFERENCE_SPLITS, SCORE_KEYS, VARIANTS, Refused
 
+STEP = 64.0  # nats; exponentials inside one step neither overflow nor underflow
+
 
 def configuration_faults(scores: DataFrame, instrument: Instrument | None = None) -> DataFrame:
     """(rule, violations): unique non-null keys, functional ids, one relation/event/model, declared coordinates."""
@@ -64,16 +66,27 @@ def complete_grid(scores: DataFrame, samples: DataFrame, instrument: Instrument,
     """Declared grid with its values; the policy decides what happens to samples or anchors with gaps."""
     if missing not in ("error", "drop_samples", "drop_anchors"):
         raise Refused("missing must be error, drop_samples or drop_anchors.")
-    declared = (samples.select("sample_id")
-                .select("*", F.inline(instrument.bridge_structs())).select("*", F.inline(instrument.anchor_structs()))
-                .select(*SCORE_KEYS))
-    cells = declared.join(scores.select(*SCORE_KEYS, valid_value(variant).alias("value")), SCORE_KEYS, "left")
-    gaps = cells.filter("value is null")
+    known = F.col("anchor_id").isin([a.id for a in instrument.anchors]) & F.col("bridge_id").isin([b.id for b in instrument.bridges])
+    cells = scores.select("sample_id", refused_if(~known, "A score row is not declared", F.col("anchor_id")).alias("anchor_id"), "bridge_id",
+                          valid_value(variant).alias("value"))
+    ids = samples.select("sample_id").distinct()
+    if missing == "drop_anchors":
+        wanted = ids.count() * len(instrument.bridges)
+        full = cells.groupBy("anchor_id").agg(F.count("value").alias("_n")).filter(F.col("_n") == wanted).select("anchor_id")
+        return _some(cells.join(F.broadcast(full), "anchor_id", "left_semi").select(*SCORE_KEYS, "value"))
+    # valid cells are counted for each sample, the declared grid is never built
+    wanted = len(instrument.anchors) * len(instrument.bridges)
+    held = cells.groupBy("sample_id").agg(F.count("value").alias("_n"))
+    counted = ids.join(held, "sample_id", "full_outer").withColumn("_n", F.coalesce("_n", F.lit(0)))
     if missing == "error":
-        refuse_rows(gaps, "Incomplete score grid")
-        return cells
-    key = "sample_id" if missing == "drop_samples" else "anchor_id"
-    return cells.join(gaps.select(key).distinct(), key, "left_anti").select(*SCORE_KEYS, "value")
+        counted = counted.withColumn("_n", refused_if(F.col("_n") != wanted, "Incomplete score grid", F.col("_n")))
+    return _some(cells.join(counted.filter(F.col("_n") == wanted).select("sample_id"), "sample_id").select(*SCORE_KEYS, "value"))
+
+
+def _some(cells: DataFrame) -> DataFrame:
+    if cells.isEmpty():
+        raise Refused("The missing policy leaves nothing.")
+    return cells
 
 
 def grid_coverage(scores: DataFrame, samples: DataFrame, instrument: Instrument, variant: str = "raw_logp") -> DataFrame:
@@ -103,27 +116,43 @@ def guard_reference(samples: DataFrame, split: str = "split", also: Sequence[str
 def fit_reference(scores: DataFrame, value: str = "raw_logp") -> DataFrame:
     """Per (anchor, bridge): n, log mean probability, mean, sample SD and the status of z scores.
 
-    Two map-side-combined aggregations: the maximum first, so that the exponentials cannot underflow.
+    One scan: the values of a coordinate are first summed within steps of `STEP` nats, so that no
+    exponential underflows, and the few steps of a coordinate are then brought together. Rows that say
+    they are no reference material (a split column is there) and cells without a value are refused.
     """
     keys = ["anchor_id", "bridge_id"]
-    rows = scores.select(*keys, F.col(value).alias("v"))
-    peaks = rows.groupBy(*keys).agg(F.max("v").alias("peak"))
-    sd = F.stddev_samp("v")
-    return (rows.join(peaks, keys).groupBy(*keys)
-            .agg(F.count("v").alias("reference_n"),
-                 (F.max("peak") + F.log(F.avg(F.exp(F.col("v") - F.col("peak"))))).alias("log_mean_probability"),
-                 F.avg("v").alias("mean_logp"), F.when(F.min("v") == F.max("v"), F.when(F.count("v") > 1, 0.0)).otherwise(sd).alias("std_logp"))
+    v = F.col(value)
+    if "split" in scores.columns:
+        wrong = F.col("split").isNotNull() & ~F.lower("split").isin(*REFERENCE_SPLITS)
+        v = refused_if(wrong, "Reference material must be training or external", v)
+    v = refused_if(finite(F.col(value)).isNull(), "A reference cell has no value", v)
+    rows = scores.select(*keys, v.alias("v"), F.floor(F.col(value) / STEP).alias("step"))
+    steps = rows.groupBy(*keys, "step").agg(
+        F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.sum(F.exp(F.col("v") - F.col("step") * STEP)).alias("e"))
+    top = steps.groupBy(*keys).agg(F.sum("n").alias("reference_n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                   F.collect_list(F.struct("step", "n", "m", "s", "e")).alias("parts"))
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda a, p: a + f(p))
+    peak = F.array_max(F.transform("parts", lambda p: p["step"]))
+    stats = top.withColumn("mean_logp", total(lambda p: p["n"] * p["m"]) / F.col("reference_n")).withColumn("_peak", peak)
+    spread = total(lambda p: p["n"] * (p["s"] + (p["m"] - F.col("mean_logp")) * (p["m"] - F.col("mean_logp"))))
+    sd = F.sqrt(F.try_divide(spread, F.col("reference_n") - 1))
+    lmp = F.col("_peak") * STEP + F.log(total(lambda p: p["e"] * F.exp((p["step"] - F.col("_peak")) * STEP)) / F.col("reference_n"))
+    return (stats.select(*keys, "reference_n", lmp.alias("log_mean_probability"), "mean_logp",
+                         F.when(F.col("lo") == F.col("hi"), F.when(F.col("reference_n") > 1, 0.0)).otherwise(sd).alias("std_logp"))
             .withColumn("z_status", F.when(F.col("std_logp") > 0, OK).when(F.col("std_logp") == 0, "undefined_constant")
                         .otherwise("undefined_insufficient")))
 
 
 def transform(scores: DataFrame, reference: DataFrame) -> DataFrame:
     """Reference log ratio and z added; raw scores stay. A coordinate without statistics stops the job."""
-    stats = reference.select("anchor_id", "bridge_id", "log_mean_probability", "mean_logp", "std_logp", F.lit(1).alias("_found"))
+    # one row for each (anchor, bridge) of the instrument: a bound that does not grow with the data
+    stats = F.broadcast(reference.groupBy("anchor_id", "bridge_id").agg(
+        F.count("*").alias("_found"), *[F.first(c).alias(c) for c in ("log_mean_probability", "mean_logp", "std_logp")]))
     joined = scores.join(stats, ["anchor_id", "bridge_id"], "left")
     valid = (F.col("status") == OK) & finite(F.col("raw_logp")).isNotNull()
     scale = F.col("std_logp") > 0
-    lmp = F.when(F.col("_found").isNull(), F.raise_error(F.lit("Reference lacks a coordinate")).cast("double")).otherwise(F.col("log_mean_probability"))
+    lmp = refused_if(F.coalesce(F.col("_found"), F.lit(0)) != 1, "Reference lacks a coordinate or has it twice", F.col("log_mean_probability"))
     return joined.select(
         *scores.columns,
         F.when(valid, F.col("raw_logp") - lmp).alias("reference_log_ratio"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conceptframe.schema import Refused
@@ -62,6 +63,14 @@ def small_rows(df: DataFrame, limit: int) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint only after a count shows at most `limit` rows; a shuffled join otherwise."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+def refused_if(bad: Column, message: str, value: Column) -> Column:
+    """The value, or a failed job where the rule is broken: the check is part of the result's own plan."""
+    return F.when(bad, F.raise_error(F.lit(message))).otherwise(value)
+
+
+def at_least(df: DataFrame, n: int, message: str) -> DataFrame:
+    """A sample of exactly `n` rows, refused when shorter. `df` is already limited to `n`, so the count
+    is over a table of that size."""
+    first = df.columns[0]
+    counted = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    return counted.select(refused_if(F.col("_n") < n, message, F.col(first)).alias(first), *df.columns[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from conceptframe.operators.checks import refuse_rows
 from conceptframe.schema import EVENTS, OK, SCORE_COLUMNS, Refused
 
-# Fixed markers of chat and mask templates; a text holding one cannot be scored faithfully.
-CONTROL_TOKENS = ("<|", "[mask]", "<think>", "</think>", "[inst]", "[/inst]", "<<sys>>")
+# Fixed markers of chat templates; a concept's surface that holds one cannot be scored faithfully.
+CONTROL_TOKENS = ("<|", "<think>", "</think>", "<tool_call>")
 
 
 def literal_rows(rows: Sequence[dict], fields: str) -> Column:
@@ -39,9 +39,11 @@ class Bridge:
 
 @dataclass(frozen=True)
 class Budgets:
-    text_tokens: int = 32768
-    anchor_tokens: int = 64
-    total_tokens: int = 40000
+    """Limits that a study declares; None is no limit."""
+
+    text_tokens: int | None = None
+    anchor_tokens: int | None = None
+    total_tokens: int | None = None
 
 
 @dataclass(frozen=True)
@@ -67,12 +69,15 @@ class Instrument:
             raise Refused(f"Unknown event {self.event!r}.")
         if any(not a.surface.strip() for a in self.anchors):
             raise Refused("Blank anchor surface.")
+        if any(m in a.surface for a in self.anchors for m in CONTROL_TOKENS):
+            raise Refused("An anchor surface holds a control marker.")
 
     @property
     def measurement_id(self) -> str:
         """Identity of the coordinates; the materials are not part of it."""
         coordinates = {
             "event": self.event, "model": [self.model_id, self.model_revision],
+            "budgets": [self.budgets.text_tokens, self.budgets.anchor_tokens, self.budgets.total_tokens],
             "anchors": [[a.id, a.surface, a.language] for a in self.anchors],
             "bridges": [[b.id, b.prefix, b.relation, b.language] for b in self.bridges],
         }
@@ -136,10 +141,13 @@ def finish_scores(scored: DataFrame, instrument: Instrument, keep: Sequence[str]
 
 
 def content_key(df: DataFrame, instrument: Instrument, content: Column) -> DataFrame:
-    """Key of a cell: instrument, material content, wording and concept."""
+    """Key of a cell: instrument, digest of the material, wording and concept.
+
+    `content` is that digest, taken once for each material before the expansion.
+    """
     cell = F.to_json(F.struct(
         F.lit(instrument.model_id).alias("model"), F.lit(instrument.model_revision).alias("revision"),
-        F.lit(instrument.event).alias("event"), F.sha2(content, 256).alias("content"),
+        F.lit(instrument.event).alias("event"), F.lit(json.dumps(asdict(instrument.budgets))).alias("budgets"), content.alias("content"),
         F.col("bridge_prefix"), F.col("relation"), F.col("anchor_surface")))
     return df.withColumn("content_key", F.sha2(cell, 256))
 

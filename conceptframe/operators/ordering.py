@@ -34,14 +34,17 @@ def running_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequ
 
 
 def value_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number of a double, ascending, cut at the column's own approximate quantiles.
+    """Bucket number of a number, ascending, cut at the column's own approximate quantiles.
 
-    The cut points are one row of at most `buckets` doubles (a scalar subquery); only the balance of
-    the buckets depends on them, never the result.
+    The cut points are at most `buckets` numbers, read once; only the balance of the buckets depends
+    on them, never the result.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(value, shares, 1000).alias("cuts")).scalar()
-    return F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < F.col(value)))
+    cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 1000)).first()[0] or []))
+    if not cuts:
+        return F.lit(0)
+    kind = df.schema[value].dataType
+    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c < F.col(value)))
 
 
 def hash_positions(df: DataFrame, hexes: str, name: str = "position", keys: Sequence[str] = (),

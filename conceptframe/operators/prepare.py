@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conceptframe.functions.hashing import digest, fraction64
 from conceptframe.functions.text import normalized_group
-from conceptframe.operators.checks import refuse_rows
+from conceptframe.operators.checks import at_least, refused_if
 from conceptframe.operators.grid import Anchor, Bridge
 from conceptframe.operators.ordering import hash_positions, running_sums, value_bucket
 from conceptframe.schema import SPLIT_ALIASES
@@ -38,7 +38,11 @@ def sampling_unit(identifier: Column) -> Column:
 
 
 def is_safe_relative_path(path: Column) -> Column:
-    return (~path.startswith("/")) & (~F.array_contains(F.split(path, "/"), "..")) & (path != "")
+    """Inside the root after every "." and ".." is followed; a path may go down and up again."""
+    step = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("depth"), F.lit(True).alias("inside")), lambda s, p: F.struct(
+        (s["depth"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("depth"),
+        (s["inside"] & ((p != "..") | (s["depth"] > 0))).alias("inside")))
+    return (~path.startswith("/")) & (path != "") & step["inside"]
 
 
 def unit_key(group_id: Column, sample_id: Column) -> Column:
@@ -69,9 +73,11 @@ def map_official_splits(df: DataFrame, official: DataFrame, key: str, split: str
     """Alias-mapped splits that cover every id exactly; anything else stops the job."""
     aliases = F.create_map(*[F.lit(x) for kv in SPLIT_ALIASES.items() for x in kv])
     named = official.select(key, F.try_element_at(aliases, F.lower(split)).alias("split"))
-    joined = df.withColumn("_here", F.lit(1)).join(named.withColumn("_named", F.lit(1)), key, "full_outer")
-    refuse_rows(joined.filter("_here is null or _named is null or split is null").select(key), "Splits do not cover the ids exactly")
-    return df.join(named, key)
+    named = named.filter(F.coalesce(F.col("split") != "external", F.lit(True))).groupBy(key).agg(
+        F.count("*").alias("_named"), F.first("split").alias("split"))
+    joined = df.withColumn("_here", F.lit(1)).join(named, key, "full_outer")
+    bad = F.col("_here").isNull() | F.col("_named").isNull() | (F.col("_named") > 1) | F.col("split").isNull()
+    return joined.select(*df.columns, refused_if(bad, "Splits do not cover the ids exactly", F.col("split")).alias("split"))
 
 
 def groups_crossing_splits(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -82,9 +88,11 @@ def groups_crossing_splits(df: DataFrame, group: str, split: str = "split") -> D
 
 def pairs_crossing_splits(pairs: DataFrame, samples: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
     ids = samples.select("sample_id", "split")
-    return (pairs.join(ids.withColumnsRenamed({"sample_id": left, "split": "left_split"}), left)
-            .join(ids.withColumnsRenamed({"sample_id": right, "split": "right_split"}), right)
-            .filter("left_split <> right_split"))
+    both = (pairs.join(ids.withColumnsRenamed({"sample_id": left, "split": "left_split"}), left, "left")
+            .join(ids.withColumnsRenamed({"sample_id": right, "split": "right_split"}), right, "left"))
+    unknown = F.col("left_split").isNull() | F.col("right_split").isNull()
+    return both.filter(unknown | (F.col("left_split") != F.col("right_split"))).withColumn(
+        "left_split", refused_if(unknown, "A pair names an unknown sample", F.col("left_split")))
 
 
 def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -94,20 +102,22 @@ def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "sample_id") -> Data
 # --- ratings and options -----------------------------------------------------------------------
 
 def aggregate_ratings(ratings: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """All-one rows dropped, items with more than one rating kept, means to two digits."""
+    """All-one rows dropped, items with more than one rating kept, means to two digits (half to even)."""
     all_one = F.lit(True)
     for v in values:
         all_one = all_one & (F.col(v) == 1)
     agg = ratings.filter(~all_one).groupBy(key).agg(F.count("*").alias("n_ratings"), *[F.avg(v).alias(v) for v in values])
     return agg.filter("n_ratings > 1").select(key, "n_ratings", *[
-        (F.floor(F.col(v) * 100 + 0.5) / F.lit(100.0)).alias(v) for v in values])
+        (F.rint(F.col(v) * 100) / F.lit(100.0)).alias(v) for v in values])
 
 
 def explode_options(df: DataFrame, options: str, answer: str, keep: Sequence[str] = ("sample_id",)) -> DataFrame:
     """ "A. text" entries to (letter, surface, relevant); surfaces are cut at the first colon."""
-    rows = df.select(*keep, answer, F.posexplode(options).alias("position", "option"))
-    letter = F.regexp_extract("option", r"^([A-Z])\. ", 1)
-    surface = F.trim(F.split(F.regexp_replace("option", r"^[A-Z]\. ", ""), ":", 2)[0])
+    starts = F.exists(options, lambda o: F.startswith(o, F.concat(F.col(answer), F.lit(". "))))
+    checked = refused_if(~F.coalesce(starts, F.lit(False)), "No option has the answer's letter", F.col(answer))
+    rows = df.select(*keep, checked.alias(answer), F.posexplode(options).alias("position", "option"))
+    letter = F.regexp_extract("option", r"^([A-Z]+)\. ", 1)
+    surface = F.trim(F.split(F.regexp_replace("option", r"^[A-Z]+\. ", ""), ":", 2)[0])
     return rows.select(*keep, "position", letter.alias("letter"), surface.alias("surface"),
                        (letter == F.col(answer)).cast("int").alias("relevant"))
 
@@ -121,11 +131,12 @@ def duplicate_surfaces(candidates: DataFrame, key: str = "sample_id") -> DataFra
 def blind_candidates(candidates: DataFrame, key: str = "sample_id") -> DataFrame:
     """Candidate id = first 16 hex of the surface digest; the id's order is the blind order.
 
-    Lists are a sample's own candidates; repeated surfaces of one sample collapse before the window.
+    Lists are a sample's own candidates; a surface that a sample has twice is refused. The relevance stays.
     """
-    one = candidates.select(key, "surface", F.sha2("surface", 256).alias("_h")).distinct()
+    one = candidates.groupBy(key, "surface").agg(F.count("*").alias("_n"), F.max("relevant").alias("relevant"))
+    one = one.select(key, "surface", "relevant", refused_if(F.col("_n") > 1, "A sample has a candidate twice", F.sha2("surface", 256)).alias("_h"))
     ranked = hash_positions(one, "_h", "blind_position", [key], digits=1)
-    return ranked.select(key, "surface", F.substring("_h", 1, 16).alias("anchor_id"), "blind_position")
+    return ranked.select(key, "surface", F.substring("_h", 1, 16).alias("anchor_id"), "blind_position", "relevant")
 
 
 def explode_captions(df: DataFrame, clip: str, captions: str) -> DataFrame:
@@ -140,7 +151,8 @@ def explode_captions(df: DataFrame, clip: str, captions: str) -> DataFrame:
 
 # --- spans -------------------------------------------------------------------------------------
 
-SPACE = r" \t\n\f\r"
+# Unicode white space, as Java and RE2 both read it inside a class.
+SPACE = r"\p{Z}\t\n\x0B\f\r\x1c-\x1f\x{85}"
 
 
 def token_span(text: Column, index: Column) -> Column:
@@ -155,7 +167,7 @@ def token_span(text: Column, index: Column) -> Column:
 def char_span(span: Column) -> Column:
     """ "start:end" with one contiguous, non-empty range; NULL otherwise."""
     ok = span.rlike(r"^[0-9]+:[0-9]+$")
-    start, end = F.split(span, ":")[0].cast("int"), F.split(span, ":")[1].cast("int")
+    start, end = F.split(span, ":")[0].try_cast("int"), F.split(span, ":")[1].try_cast("int")
     return F.when(ok & (start < end), F.struct(start.alias("start"), end.alias("end")))
 
 
@@ -183,7 +195,7 @@ def unmark_target(marked: Column) -> Column:
 def rank_terms(terms: DataFrame, pair: str, term: str, n: int = 128) -> DataFrame:
     """Concept bank: one vote per pair, ordered by votes then term."""
     votes = terms.select(pair, term).distinct().groupBy(term).agg(F.count("*").alias("votes"))
-    return votes.orderBy(F.desc("votes"), term).limit(n)
+    return at_least(votes.orderBy(F.desc("votes"), term).limit(n), n, "The bank has too few terms")
 
 
 def quota_sample(df: DataFrame, n: int, splits: Sequence[str] = ("train", "dev"), *, id_col: str = "sample_id",
@@ -200,7 +212,7 @@ def quota_sample(df: DataFrame, n: int, splits: Sequence[str] = ("train", "dev")
         pool = heads.filter(F.col(split) == name)
         if picked is not None:
             pool = pool.join(picked.select(group), group, "left_anti")
-        part = pool.orderBy("_h").limit(n).select(id_col, group, split)
+        part = at_least(pool.orderBy("_h").limit(n).select(id_col, group, split), n, f"Too few groups in split {name}")
         picked = part if picked is None else picked.unionByName(part)
     return picked
 
@@ -227,9 +239,9 @@ def fill_roles(df: DataFrame, quotas: Sequence[tuple[str, int]], rest: str, *, g
 def round_robin(df: DataFrame, cells: Sequence[str], n: int, *, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
     """Cells in turn give their next row in digest order until `n` rows are taken."""
     hashed = df.select(id_col, *cells).withColumn("_h", digest(seed, F.col(id_col)))
-    # At most n rows per cell can be taken; Spark applies this limit before the shuffle.
-    ranked = hashed.withColumn("round", F.row_number().over(W.partitionBy(*cells).orderBy("_h"))).filter(F.col("round") <= n)
-    return ranked.orderBy("round", *cells).limit(n).select(id_col, *cells, F.col("round").cast("bigint").alias("round"))
+    ranked = hash_positions(hashed, "_h", "round", cells).filter(F.col("round") <= n)
+    taken = ranked.orderBy("round", *cells).limit(n).select(id_col, *cells, F.col("round").cast("bigint").alias("round"))
+    return at_least(taken, n, "Too few rows for the sample")
 
 
 def first_by_hash(df: DataFrame, n: int, *, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
@@ -246,7 +258,7 @@ def first_available(df: DataFrame, n: int, available: Column, id_col: str) -> Da
 
 def fixed_shards(df: DataFrame, order: str, size: int) -> DataFrame:
     """Order-preserving shards of `size` rows; `order` is a unique number."""
-    keyed = df.withColumn("_o", F.col(order).cast("double"))
+    keyed = df.withColumn("_o", F.col(order))
     run = running_sums(keyed, [], value_bucket(keyed, "_o"), [F.col("_o")], {"_pos": F.lit(1).cast("bigint")})
     return run.withColumn("shard", F.floor((F.col("_pos") - 1) / size)).drop("_o", "_pos")
 
@@ -306,15 +318,22 @@ def ablate_parts(df: DataFrame, condition: str, donors: DataFrame | None = None,
     if condition == "image":
         return df.withColumn(parts, F.filter(parts, lambda p: p["type"] != "text"))
     if condition == "empty":
-        return df.withColumn(parts, F.filter(parts, lambda p: F.lit(False)))
+        kind = df.schema[parts].dataType.elementType
+        nothing = F.struct(*[(F.lit("text") if f.name == "type" else F.lit("") if f.name == "text" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        return df.withColumn(parts, F.array(nothing))
     if condition != "swapped" or donors is None:
         raise ValueError(f"Unknown condition {condition!r} or donors missing.")
     media = df.select(F.col("sample_id").alias("donor_id"), F.col("split").alias("_dsplit"), F.col("group_id").alias("_dgroup"),
                       F.filter(parts, lambda p: p["type"] != "text").alias("_dparts"))
     joined = df.join(donors.select("sample_id", "donor_id"), "sample_id", "left").join(media, "donor_id", "left")
     bad = F.col("_dsplit").isNull() | (F.col("_dsplit") != F.col("split")) | (F.col("_dgroup") == F.col("group_id"))
-    refuse_rows(joined.filter(bad).select("sample_id", "donor_id"), "Donor must share the split and not the group")
-    return joined.withColumn(parts, F.concat("_dparts", own_text)).drop("_dsplit", "_dgroup", "_dparts")
+    joined = joined.withColumn("donor_id", refused_if(bad, "Donor must share the split and not the group", F.col("donor_id")))
+    # media parts are replaced where they stand, the n-th by the donor's n-th
+    before = F.transform(parts, lambda p, i: F.size(F.filter(F.slice(F.col(parts), F.lit(1), i), lambda q: q["type"] != "text")))
+    lacks = F.size(F.filter(parts, lambda p: p["type"] != "text")) > F.size("_dparts")
+    swapped = F.transform(F.arrays_zip(F.col(parts).alias("own"), before.alias("n")), lambda z: F.when(
+        z["own"]["type"] == "text", z["own"]).otherwise(F.get(F.col("_dparts"), z["n"])))
+    return joined.withColumn(parts, refused_if(lacks | (F.size(F.filter(parts, lambda p: p["type"] != "text")) == 0), "Sample or donor has no media to swap", swapped)).drop("_dsplit", "_dgroup", "_dparts")
 
 
 # --- eligibility and validation ----------------------------------------------------------------
@@ -332,18 +351,20 @@ def reason_counts(df: DataFrame) -> DataFrame:
 def sample_faults(parts: str = "parts", target: str = "target") -> dict[str, Column]:
     """Shape rules of a sample as reason columns."""
     def any_part(rule):
-        return F.exists(parts, rule)
+        return F.coalesce(F.exists(parts, lambda p: F.coalesce(rule(p), F.lit(True))), F.lit(False))
 
     t = F.col(target)
     inside = F.get(F.col(parts), t["part_index"])
     return {
-        "no_parts": F.size(parts) < 1,
+        "no_parts": F.coalesce(F.size(parts) < 1, F.lit(True)),
         "text_part": any_part(lambda p: (p["type"] == "text") & (p["text"].isNull() | p["path"].isNotNull())),
-        "media_part": any_part(lambda p: (p["type"] != "text") & (p["path"].isNull() | p["text"].isNotNull())),
+        "media_part": any_part(lambda p: (p["type"] != "text") & (p["path"].isNull() | (p["path"] == "") | p["text"].isNotNull())),
         "clip_bounds": any_part(lambda p: (p["clip_start"].isNotNull() | p["clip_end"].isNotNull())
-                                & ((p["type"] != "video") | (p["clip_start"] >= p["clip_end"]) | (p["clip_start"] < 0))),
+                                & ((p["type"] != "video") | F.coalesce(p["clip_start"] >= p["clip_end"], F.lit(False))
+                                   | F.coalesce(p["clip_start"] < 0, F.lit(False)) | F.coalesce(p["clip_end"] <= 0, F.lit(False)))),
         "target_span": t.isNotNull() & F.coalesce(
-            (inside["type"] != "text") | (t["start"] < 0) | (t["end"] <= t["start"]) | (t["end"] > F.length(inside["text"])), F.lit(True)),
+            (inside["type"] != "text") | (t["start"] < 0) | (t["end"] <= t["start"]) | (t["end"] > F.length(inside["text"]))
+            | (F.trim(t["lemma"]) == ""), F.lit(True)),
     }
 
 
@@ -366,9 +387,10 @@ def merge_inventories(tables: Sequence[DataFrame], key: str) -> DataFrame:
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
-    rows = union.distinct()
-    refuse_rows(rows.groupBy(key).count().filter("count > 1"), "One id with different rows")
-    return rows
+    others = [c for c in union.columns if c != key]
+    row = F.struct(*others)
+    rows = union.groupBy(key).agg(F.min(row).alias("_a"), F.max(row).alias("_b"))
+    return rows.select(key, refused_if(~F.col("_a").eqNullSafe(F.col("_b")), "One id with different rows", F.col("_a")).alias("_a")).select(key, *[F.col(f"_a.{c}") for c in others])
 
 
 def wrong_child_counts(children: DataFrame, parent: str, k: int) -> DataFrame:
@@ -376,29 +398,37 @@ def wrong_child_counts(children: DataFrame, parent: str, k: int) -> DataFrame:
 
 
 def repair_filenames(names: DataFrame, listing: DataFrame, name: str = "name", listed: str = "file") -> DataFrame:
-    """Exact name first, right-trimmed name second, else no file."""
+    """The exact name first, the right-trimmed name, exactly as listed, second; anything else is refused."""
     files = listing.select(F.col(listed).alias("_f")).distinct()
-    trimmed = files.groupBy(F.rtrim("_f").alias("_t")).agg(F.min("_f").alias("_tf"))
     out = (names.join(files, F.col(name) == F.col("_f"), "left")
-           .join(trimmed, F.rtrim(F.col(name)) == F.col("_t"), "left"))
-    return out.select(*names.columns, F.coalesce("_f", "_tf").alias("matched"),
+           .join(files.withColumnRenamed("_f", "_tf"), F.rtrim(F.col(name)) == F.col("_tf"), "left"))
+    matched = F.coalesce("_f", "_tf")
+    return out.select(*names.columns, refused_if(matched.isNull(), "No file for a name", matched).alias("matched"),
                       (F.col("_f").isNull() & F.col("_tf").isNotNull()).alias("corrected"))
 
 
 # --- instrument variants -----------------------------------------------------------------------
 
-def instrument_variants(anchors: Sequence[Anchor], bank: Sequence[Anchor] = (), aliases: Mapping[str, str] | None = None,
-                        phrase: str = "", nested: Sequence[int] = ()) -> dict[str, tuple[Anchor, ...]]:
-    """Named anchor lists: base, aliases, phrase prefix, duplicates plus unrelated, nested prefixes of one bank."""
-    out = {"base": tuple(anchors)}
+def variant_surfaces(spark, anchors: Sequence[Anchor], bank: DataFrame | None = None, aliases: Mapping[str, str] | None = None,
+                     phrase: str = "", nested: Sequence[int] = ()) -> DataFrame:
+    """(variant, anchor_id, surface): base, aliases, phrase prefix, duplicates plus unrelated, nested prefixes of one bank.
+
+    `bank` (term, votes) is already a limited list; it stays a table.
+    """
+    base = spark.createDataFrame([(a.id, a.surface) for a in anchors], "anchor_id string, surface string")
+    out = base.select(F.lit("base").alias("variant"), "*")
     if aliases:
-        out["aliases"] = tuple(Anchor(a.id, aliases.get(a.id, a.surface), a.language) for a in anchors)
+        table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+        out = out.unionByName(base.select(F.lit("aliases").alias("variant"), "anchor_id", F.coalesce(F.try_element_at(table, F.col("anchor_id")), "surface").alias("surface")))
     if phrase:
-        out["phrase"] = tuple(Anchor(a.id, phrase + a.surface, a.language) for a in anchors)
-    if bank:
-        out["extended"] = tuple(anchors) + tuple(Anchor(f"dup_{a.id}", a.surface, a.language) for a in anchors) + tuple(bank)
-    for n in nested:
-        out[f"nested_{n}"] = tuple(bank[:n])
+        out = out.unionByName(base.select(F.lit("phrase").alias("variant"), "anchor_id", F.concat(F.lit(phrase), "surface").alias("surface")))
+    if bank is not None:
+        ranked = bank.withColumn("_r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("votes"), "term")))
+        named = ranked.select("_r", F.concat(F.lit("t_"), "term").alias("anchor_id"), F.col("term").alias("surface"))
+        extended = base.unionByName(base.withColumn("anchor_id", F.concat(F.lit("dup_"), "anchor_id"))).unionByName(named.drop("_r"))
+        out = out.unionByName(extended.select(F.lit("extended").alias("variant"), "*"))
+        for n in nested:
+            out = out.unionByName(named.filter(F.col("_r") <= n).select(F.lit(f"nested_{n}").alias("variant"), "anchor_id", "surface"))
     return out
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from conceptframe.functions import vectors
 from conceptframe.functions.text import tokens
 from conceptframe.operators.checks import refuse_rows, same_keys, small_rows
-from conceptframe.operators.grid import CONTROL_TOKENS, Instrument, finish_scores, grid, literal_rows
+from conceptframe.operators.grid import Instrument, finish_scores, grid, literal_rows
 from conceptframe.schema import BOUNDARY, BUDGET, MEDIA, OK, Refused
 
 END = "</s>"
@@ -34,6 +36,12 @@ class LanguageModel:
     counts: dict[str, int]
     mu: float = 2000.0
 
+    @property
+    def revision(self) -> str:
+        """Identity of the fitted model: smoothing and background counts."""
+        fitted = json.dumps([self.total, self.distinct, self.mu, sorted(self.counts.items())])
+        return f"dirichlet-{self.mu:g}-{hashlib.sha256(fitted.encode()).hexdigest()[:12]}"
+
     def background(self, term: str) -> float:
         return (self.counts.get(term, 0) + 1) / (self.total + self.distinct)
 
@@ -60,22 +68,22 @@ def fit_language_model(train: DataFrame, instrument: Instrument, text: str = "te
 
 def query_likelihood(samples: DataFrame, instrument: Instrument, model: LanguageModel, *, text: str = "text",
                      keep: Sequence[str] = (), media_missing: Column | None = None,
-                     token_details: bool = False) -> DataFrame:
+                     token_details: bool = False, own: str | None = None) -> DataFrame:
     """Score table of `samples` (sample_id, text, ...): sum of log P(token | material + bridge).
 
-    A score depends on its own anchor only, so adding anchors never moves the others. The whole
+    With `own`, a column of anchor ids, a material meets only those. A score depends on its own anchor only, so adding anchors never moves the others. The whole
     computation is a narrow map: term counts are taken per material, before the expansion, and the
     instrument enters as literals.
     """
     vocab = vocabulary(instrument)
     at = {v: i + 1 for i, v in enumerate(vocab)}
-    lowered = F.lower(F.col(text))
-    unusable = F.col(text).isNull() | F.exists(F.lit(list(CONTROL_TOKENS)), lambda m: F.contains(lowered, m))
+    unusable = F.col(text).isNull()
     hits = F.filter("_tokens", lambda t: t.isin(vocab))
     counts = F.transform(F.lit(vocab), lambda v: F.size(F.filter("_hits", lambda h: h == v)))
     carried = [k for k in keep if k != "sample_id"]
+    listed = [own] if own and own not in carried else []
     # Everything that needs the text happens here, once per material and before the expansion.
-    base = (samples.select("sample_id", *carried, F.coalesce(tokens(F.col(text)), F.array()).alias("_tokens"),
+    base = (samples.select("sample_id", *carried, *listed, F.coalesce(tokens(F.col(text)), F.array()).alias("_tokens"),
                            unusable.alias("_unusable"),
                            *([media_missing.alias("_missing")] if media_missing is not None else []))
             .withColumn("_hits", hits)
@@ -91,14 +99,18 @@ def query_likelihood(samples: DataFrame, instrument: Instrument, model: Language
     cells = (base
              .select("*", F.inline(literal_rows(bridges, "bridge_id string, bridge_prefix string, relation string, _blen int, _btf array<int>")))
              .select("*", F.inline(literal_rows(anchors, "anchor_id string, anchor_surface string, _terms array<struct<i:int,prior:double>>"))))
+    if own:
+        cells = cells.filter(F.array_contains(own, F.col("anchor_id")))
     length = F.col("_len") + F.col("_blen") + F.lit(model.mu)
     logps = F.transform("_terms", lambda t: F.log(
         (F.element_at("_tf", t["i"]) + F.element_at("_btf", t["i"]) + t["prior"]) / length))
     if instrument.event == "turn_terminated":
         logps = F.concat(logps, F.array(F.log(F.lit(model.mu / (model.total + model.distinct)) / length)))
     limits, n_anchor = instrument.budgets, F.size("_terms")
-    over = ((F.col("_len") > limits.text_tokens) | (n_anchor > limits.anchor_tokens)
-            | (F.col("_len") + F.col("_blen") + n_anchor > limits.total_tokens))
+    over = F.lit(False)
+    for size, most in ((F.col("_len"), limits.text_tokens), (n_anchor, limits.anchor_tokens),
+                       (F.col("_len") + F.col("_blen") + n_anchor, limits.total_tokens)):
+        over = over if most is None else over | (size > most)
     status = F.when(F.col("_unusable") | (n_anchor < 1), BOUNDARY).when(over, BUDGET).otherwise(OK)
     if media_missing is not None:
         status = F.when(F.col("_missing"), MEDIA).otherwise(status)
@@ -107,7 +119,7 @@ def query_likelihood(samples: DataFrame, instrument: Instrument, model: Language
               .withColumn("raw_logp", F.aggregate("token_logps", F.lit(0.0), lambda s, v: s + v))
               .withColumn("token_count", F.size("token_logps"))
               .withColumn("status", status))
-    return finish_scores(scored, instrument, [*carried, *(["token_logps"] if token_details else [])])
+    return finish_scores(scored, replace(instrument, model_revision=model.revision), [*carried, *(["token_logps"] if token_details else [])])
 
 
 ScoreBatch = Callable[[pd.DataFrame], pd.DataFrame]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation")
+MODULES = ("measure", "preparation", "metrics")
 
 
 def load_all():

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conceptframe.functions.numeric import r9
+from conceptframe.functions.numeric import r9, rank_agreement
 from conceptframe.operators import calibrate, grid, prepare, scorers
 from conceptframe.plans import sqltext as S
 from conceptframe.plans.registry import query
@@ -68,13 +67,9 @@ BUDGET_STUDY = grid.Instrument(T.ANCHORS, T.BRIDGES, budgets=grid.Budgets(text_t
 
 @query("budget_statuses", S.with_scores("""
 SELECT bridge_id, status, count(*) AS n, count(raw) AS n_scored FROM (
-  SELECT bridge_id, CASE
-    WHEN contains(lt, '<|') OR contains(lt, '[mask]') OR contains(lt, '<think>') OR contains(lt, '</think>')
-      OR contains(lt, '[inst]') OR contains(lt, '[/inst]') OR contains(lt, '<<sys>>') THEN 'BoundaryError'
-    WHEN len(toks) > 500 OR len(toks) + b.n + token_count > 512 THEN 'BudgetExceeded' ELSE 'ok' END AS status,
+  SELECT bridge_id, CASE WHEN len(toks) > 500 OR len(toks) + b.n + token_count > 512 THEN 'BudgetExceeded' ELSE 'ok' END AS status,
     CASE WHEN status = 'ok' THEN raw_logp END AS raw
-  FROM scores JOIN tokd USING (sample_id) JOIN blen b USING (bridge_id)
-  JOIN (SELECT sample_id, lower(text) AS lt FROM samples) USING (sample_id))
+  FROM scores JOIN tokd USING (sample_id) JOIN blen b USING (bridge_id))
 GROUP BY ALL"""))
 def budget_statuses(spark: SparkSession, sf: str) -> DataFrame:
     out = scorers.query_likelihood(T.samples(spark, sf), BUDGET_STUDY, T.language_model(spark, sf))
@@ -104,7 +99,8 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Per-sample inventories: each document meets the concepts of its own language."""
     own = [("en", "a_that"), ("en", "a_with"), ("en", "a_tion"), ("fr", "a_tion"), ("fr", "a_from"), ("de", "a_then"), ("es", "a_this")]
     inventory = T.samples(spark, sf).select("sample_id", "lang").join(spark.createDataFrame(own, "lang string, anchor_id string"), "lang")
-    out = grid.restrict_to_candidates(T.scores(spark, sf, keep=()), inventory)
+    lists = inventory.groupBy("sample_id").agg(F.collect_set("anchor_id").alias("own"))
+    out = scorers.query_likelihood(T.samples(spark, sf).join(lists, "sample_id"), T.STUDY, T.language_model(spark, sf), own="own")
     return out.select(*SCORE_KEYS, r9(F.col("raw_logp")).alias("raw_logp"))
 
 
@@ -120,7 +116,7 @@ def grid_input_checks(spark: SparkSession, sf: str) -> DataFrame:
 @query("content_keys", S.with_samples("""
 SELECT count(*) AS n_cells, count(DISTINCT text) * 24 AS n_keys FROM samples, range(24)"""))
 def content_keys(spark: SparkSession, sf: str) -> DataFrame:
-    cells = grid.content_key(grid.grid(T.samples(spark, sf).select("sample_id", "text"), T.STUDY), T.STUDY, F.col("text"))
+    cells = grid.content_key(grid.grid(T.samples(spark, sf).select("sample_id", "content"), T.STUDY), T.STUDY, F.col("content"))
     return cells.agg(F.count("*").alias("n_cells"), F.count_distinct("content_key").alias("n_keys"))
 
 
@@ -131,15 +127,16 @@ SELECT split, count(*) AS n_cells, count_if(hit) AS n_hits, round(sum(raw_logp),
 GROUP BY split"""))
 def cache_split(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of training material are cached; the replay serves them and only the rest is scored."""
-    model, keep = T.language_model(spark, sf), ("split", "text")
-    stored = T.scores(spark, sf, keep=("text",), where="split = 'train'")
-    cache = grid.content_key(stored, T.STUDY, F.col("text")).dropDuplicates(["content_key"])
-    cells = grid.content_key(grid.grid(T.samples(spark, sf).select("sample_id", *keep), T.STUDY), T.STUDY, F.col("text"))
+    model = T.language_model(spark, sf)
+    stored = T.scores(spark, sf, keep=("content",), where="split = 'train'", model=model)
+    cache = grid.content_key(stored, T.STUDY, F.col("content")).dropDuplicates(["content_key"])
+    cells = grid.content_key(grid.grid(T.samples(spark, sf).select("sample_id", "split", "content"), T.STUDY), T.STUDY, F.col("content"))
 
     def score(pending: DataFrame) -> DataFrame:
-        docs = pending.select("sample_id", "text").dropDuplicates(["sample_id"])
-        fresh = scorers.query_likelihood(docs, T.STUDY, model, keep=("text",))
-        return grid.content_key(fresh, T.STUDY, F.col("text")).dropDuplicates(["content_key"])
+        # one material for each content; no text is in a shuffle but that of the materials to score
+        one = pending.groupBy("content").agg(F.min("sample_id").alias("sample_id"))
+        docs = T.samples(spark, sf).join(one.select("sample_id"), "sample_id", "left_semi")
+        return grid.content_key(scorers.query_likelihood(docs, T.STUDY, model, keep=("content",)), T.STUDY, F.col("content"))
 
     rows, _ = grid.with_cache(cells, cache, score)
     return rows.groupBy("split").agg(F.count("*").alias("n_cells"), F.count_if("cache_hit").alias("n_hits"),
@@ -150,14 +147,15 @@ def cache_split(spark: SparkSession, sf: str) -> DataFrame:
 SELECT anchor_id, bridge_id, reference_n, round(log_mean_probability, 9) AS log_mean_probability,
   round(mean_logp, 9) AS mean_logp, round(std_logp, 9) AS std_logp, 'ok' AS z_status FROM ref""", S.REFERENCE))
 def fit_reference(spark: SparkSession, sf: str) -> DataFrame:
-    ref = calibrate.fit_reference(T.scores(spark, sf, keep=(), where="split = 'train'"))
+    ref = calibrate.fit_reference(T.scores(spark, sf, keep=("split",), where="split = 'train'"))
     return ref.select("anchor_id", "bridge_id", "reference_n", *[r9(F.col(c)).alias(c) for c in (
         "log_mean_probability", "mean_logp", "std_logp")], "z_status")
 
 
 def calibrated(spark: SparkSession, sf: str, keep=T.KEEP) -> DataFrame:
-    ref = calibrate.fit_reference(T.scores(spark, sf, keep=(), where="split = 'train'"))
-    return calibrate.transform(T.scores(spark, sf, keep=keep), ref)
+    model = T.language_model(spark, sf)
+    ref = calibrate.fit_reference(T.scores(spark, sf, keep=("split",), where="split = 'train'", model=model))
+    return calibrate.transform(T.scores(spark, sf, keep=keep, model=model), ref)
 
 
 @query("transform_scores", S.with_scores("""
@@ -190,17 +188,25 @@ def reference_z_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("configuration_check", S.with_scores("""
-SELECT * FROM (VALUES ('unique_keys', (SELECT count(*) FROM (SELECT 1 FROM scores GROUP BY sample_id, anchor_id, bridge_id HAVING count(*) > 1))),
-  ('anchor_definition', 0::BIGINT), ('bridge_definition', 0::BIGINT), ('single_measurement', 0::BIGINT), ('declared_coordinates', 0::BIGINT)) v(rule, violations)"""))
+SELECT * FROM (VALUES ('unique_keys', (SELECT count(*) FROM scores WHERE lang = 'de' AND anchor_id = 'a_with')),
+  ('anchor_definition', (SELECT count(DISTINCT anchor_id) FROM scores WHERE lang = 'de' AND anchor_id = 'a_that')),
+  ('bridge_definition', (SELECT count(DISTINCT bridge_id) FROM scores WHERE lang = 'es' AND bridge_id = 'b_from')),
+  ('single_measurement', (SELECT count(DISTINCT lang) FROM scores WHERE lang = 'fr')),
+  ('declared_coordinates', (SELECT count(DISTINCT lang) FROM scores WHERE lang IN ('de', 'es')))) v(rule, violations)"""))
 def configuration_check(spark: SparkSession, sf: str) -> DataFrame:
-    return calibrate.configuration_faults(T.scores(spark, sf, keep=()), T.STUDY)
+    """Faults planted by language: repeated keys, another surface, another prefix, another revision."""
+    s = T.scores(spark, sf, keep=("lang",))
+    own = F.col("lang")
+    bad = (s.withColumn("anchor_surface", F.when((own == "de") & (F.col("anchor_id") == "a_that"), "THAT").otherwise(F.col("anchor_surface")))
+           .withColumn("bridge_prefix", F.when((own == "es") & (F.col("bridge_id") == "b_from"), "From:").otherwise(F.col("bridge_prefix")))
+           .withColumn("model_revision", F.when(own == "fr", "other").otherwise(F.col("model_revision"))))
+    copies = F.when((own == "de") & (F.col("anchor_id") == "a_with"), 2).otherwise(1)
+    return calibrate.configuration_faults(bad.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))), T.STUDY)
 
 
-CONTROL_RE = r"<\||\[mask\]|<think>|</think>|\[inst\]|\[/inst\]|<<sys>>"
 BUDGET_CELLS = f"""
-cells AS (SELECT s.sample_id, s.anchor_id, s.bridge_id, CASE WHEN len(toks) <= 500 AND len(toks) + b.n + token_count <= 512
-    AND NOT regexp_matches(lower(text), '{CONTROL_RE}') THEN raw_logp END AS v
-  FROM scores s JOIN tokd USING (sample_id) JOIN samples d USING (sample_id) JOIN blen b USING (bridge_id))"""
+cells AS (SELECT s.sample_id, s.anchor_id, s.bridge_id, CASE WHEN len(toks) <= 500 AND len(toks) + b.n + token_count <= 512 THEN raw_logp END AS v
+  FROM scores s JOIN tokd USING (sample_id) JOIN blen b USING (bridge_id))"""
 
 
 @query("missing_policy", S.with_scores("""
@@ -232,7 +238,7 @@ WHERE s.sample_id IN (SELECT sample_id FROM samples WHERE split = 'train' AND la
 def reference_source(spark: SparkSession, sf: str) -> DataFrame:
     """Reference rows chosen by an id table: English training material."""
     ids = T.samples(spark, sf).filter("split = 'train' and lang = 'en'").select("sample_id")
-    ref = prepare.subset_by_ids(T.scores(spark, sf, keep=()), ids)
+    ref = scorers.query_likelihood(prepare.subset_by_ids(T.samples(spark, sf), ids), T.STUDY, T.language_model(spark, sf))
     return ref.groupBy("bridge_id").agg(F.count("*").alias("n"), r9(F.avg("raw_logp")).alias("mean_logp"))
 
 
@@ -245,20 +251,14 @@ def reference_disjointness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("variant_rank_agreement", S.with_scores("""
-SELECT sample_id, CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 9) END AS spearman FROM rk GROUP BY sample_id""",
+SELECT sample_id, CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 9) + 0.0::DOUBLE END AS spearman FROM rk GROUP BY sample_id""",
     S.REFERENCE, """
 cal AS (SELECT sample_id, anchor_id, avg(raw_logp) AS a, avg(reference_z) AS b FROM calibrated GROUP BY ALL)""", """
 rk AS (SELECT sample_id, rank() OVER (PARTITION BY sample_id ORDER BY a) + (count(*) OVER (PARTITION BY sample_id, a) - 1) / 2.0::DOUBLE AS ra,
   rank() OVER (PARTITION BY sample_id ORDER BY b) + (count(*) OVER (PARTITION BY sample_id, b) - 1) / 2.0::DOUBLE AS rb FROM cal)"""))
 def variant_rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Per sample: rank agreement of two variants over the concepts (groups are instrument-sized)."""
-    from conceptframe.functions.numeric import pearson
+    """Per sample: rank agreement of two variants over the concepts, inside one row of an array per sample."""
     cal = calibrated(spark, sf, keep=())
-    m = cal.groupBy("sample_id", "anchor_id").agg(F.avg("raw_logp").alias("a"), F.avg("reference_z").alias("b"))
-
-    def mid(c: str):
-        return (F.rank().over(W.partitionBy("sample_id").orderBy(c))
-                + (F.count("*").over(W.partitionBy("sample_id", c)) - 1) / 2.0)
-
-    ranked = m.select("sample_id", mid("a").alias("ra"), mid("b").alias("rb"))
-    return ranked.groupBy("sample_id").agg(r9(pearson(F.col("ra"), F.col("rb"))).alias("spearman"))
+    per = cal.groupBy("sample_id", "anchor_id").agg(F.avg("raw_logp").alias("a"), F.avg("reference_z").alias("b"))
+    rows = per.groupBy("sample_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    return rows.select("sample_id", (r9(rank_agreement("a", "b")) + 0.0).alias("spearman"))

@@ -48,8 +48,8 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rating_aggregation", f"""
-SELECT item, count(*) AS n_ratings, floor(avg(v) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS v,
-  floor(avg(a) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS a, floor(avg(d) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS d
+SELECT item, count(*) AS n_ratings, round_even(avg(v) * 100, 0) / 100.0::DOUBLE AS v,
+  round_even(avg(a) * 100, 0) / 100.0::DOUBLE AS a, round_even(avg(d) * 100, 0) / 100.0::DOUBLE AS d
 FROM ({RATINGS_SQL}) WHERE NOT (v = 1 AND a = 1 AND d = 1) GROUP BY item HAVING count(*) > 1""")
 def rating_aggregation(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.aggregate_ratings(ratings(spark, sf), "item", ["v", "a", "d"])
@@ -57,12 +57,12 @@ def rating_aggregation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rating_reports", f"""
 WITH r AS (SELECT item FROM ({RATINGS_SQL}) WHERE NOT (v = 1 AND a = 1 AND d = 1) GROUP BY item HAVING count(*) > 1)
-SELECT 'without_rating' AS side, p_partkey AS item FROM part WHERE p_partkey NOT IN (SELECT item FROM r)
-UNION ALL SELECT 'without_item', item FROM r WHERE item NOT IN (SELECT p_partkey FROM part)""")
+SELECT 'without_rating' AS side, p_partkey AS item FROM part WHERE p_size <= 40 AND p_partkey NOT IN (SELECT item FROM r)
+UNION ALL SELECT 'without_item', item FROM r WHERE item NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)""")
 def rating_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Ids that only one side of the join has."""
     rated = rating_aggregation(spark, sf).select("item")
-    items = T.load(spark, sf, "part").select(F.col("p_partkey").alias("item"))
+    items = T.load(spark, sf, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("item"))
     sides = checks.same_keys(items, rated, ["item"])
     return sides.select(F.when(F.col("side") == "left", "without_rating").otherwise("without_item").alias("side"), "item")
 
@@ -76,13 +76,13 @@ def document_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("domain_checks", """
-SELECT unnest(['quantity_1_50','discount_0_1','quality_binary','lines_1_7']) AS rule, unnest([
+SELECT unnest(['quantity_1_50','discount_0_1','quality_binary','lines_1_4']) AS rule, unnest([
   (SELECT count(*) FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 50)), (SELECT count(*) FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 1)),
   (SELECT count(*) FROM labels WHERE quality NOT IN (0, 1)), (SELECT count(*) FROM lineitem WHERE NOT (l_linenumber BETWEEN 1 AND 4))]) AS violations""")
 def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
     lines = checks.violations(T.load(spark, sf, "lineitem"), {
         "quantity_1_50": F.col("l_quantity").between(1, 50), "discount_0_1": F.col("l_discount").between(0, 1),
-        "lines_1_7": F.col("l_linenumber").between(1, 4)})
+        "lines_1_4": F.col("l_linenumber").between(1, 4)})
     return lines.unionByName(checks.violations(T.load(spark, sf, "labels"), {"quality_binary": F.col("quality").isin(0, 1)}))
 
 
@@ -97,18 +97,18 @@ def join_labels_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 def option_lists(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda t: F.trim(t) != "")
-    lettered = F.transform(lines, lambda t, i: F.concat(F.char(F.lit(65) + i % 26), F.lit(". "), t))
+    lettered = F.transform(lines, lambda t, i: F.concat(F.repeat(F.char(F.lit(65) + i % 26), F.floor(i / 26).cast("int") + 1), F.lit(". "), t))
     return T.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), lettered.alias("options"),
-                                                 F.lit("B").alias("answer"))
+                                                 F.lit("A").alias("answer")).filter(F.size("options") > 0)
 
 
 OPTIONS_SQL = r"""
-opt AS (SELECT sample_id, i - 1 AS position, chr((65 + (i - 1) % 26)::INTEGER) AS letter, trim(split_part(lines[i], ':', 1)) AS surface
+opt AS (SELECT sample_id, i - 1 AS position, repeat(chr((65 + (i - 1) % 26)::INTEGER), (i - 1) // 26 + 1) AS letter, trim(split_part(lines[i], ':', 1)) AS surface
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (
     SELECT doc_id::VARCHAR AS sample_id, list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '') AS lines FROM documents)))"""
 
 
-@query("explode_options", f"WITH {OPTIONS_SQL} SELECT sample_id, position::INTEGER AS position, letter, surface, (letter = 'B')::INTEGER AS relevant FROM opt")
+@query("explode_options", f"WITH {OPTIONS_SQL} SELECT sample_id, position::INTEGER AS position, letter, surface, (letter = 'A')::INTEGER AS relevant FROM opt")
 def explode_options(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.explode_options(option_lists(spark, sf), "options", "answer")
 
@@ -119,9 +119,12 @@ def duplicate_options(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("blind_candidates", f"""WITH {OPTIONS_SQL} SELECT sample_id, surface, substr(h, 1, 16) AS anchor_id,
-  row_number() OVER (PARTITION BY sample_id ORDER BY h) AS blind_position FROM (SELECT DISTINCT sample_id, surface, sha256(surface) AS h FROM opt)""")
+  row_number() OVER (PARTITION BY sample_id ORDER BY h) AS blind_position, relevant
+  FROM (SELECT sample_id, surface, sha256(surface) AS h, max((letter = 'A')::INTEGER) AS relevant FROM opt GROUP BY ALL)""")
 def blind_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.blind_candidates(prepare.explode_options(option_lists(spark, sf), "options", "answer"))
+    """Lines that a document repeats are one candidate; the operator itself would refuse them."""
+    options = prepare.explode_options(option_lists(spark, sf), "options", "answer")
+    return prepare.blind_candidates(options.groupBy("sample_id", "surface").agg(F.max("relevant").alias("relevant")))
 
 
 @query("caption_pairs", r"""
@@ -133,12 +136,12 @@ def caption_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.explode_captions(clips, "clip", "captions").select("sample_id", "pair_id", "source", "clip_start", "clip_end", "caption")
 
 
-TOKEN_SQL = r"list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '')"
+TOKEN_SQL = rf"list_filter(regexp_split_to_array(text, '[{S.SPACES}]+'), lambda x: x <> '')"
 
 
 @query("char_spans", rf"""
 WITH c AS (SELECT conv_id, turn, text, (turn % 3)::INTEGER AS i, {TOKEN_SQL} AS w FROM conversations),
-p AS (SELECT *, regexp_extract_all(text, '[ \t\n\f\r]*[^ \t\n\f\r]+') AS chunks FROM c)
+p AS (SELECT *, regexp_extract_all(text, '[{S.SPACES}]*[^{S.SPACES}]+') AS chunks FROM c)
 SELECT conv_id, turn, CASE WHEN len(w) > i THEN list_sum(list_transform(chunks[1:i + 1], lambda x: length(x)))::INTEGER - length(w[i + 1])::INTEGER END AS start_at,
   CASE WHEN len(w) > i THEN list_sum(list_transform(chunks[1:i + 1], lambda x: length(x)))::INTEGER END AS end_at, w[i + 1] AS token FROM p""")
 def char_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,13 +162,15 @@ def parse_char_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("mark_target", rf"""
-WITH c AS (SELECT conv_id, turn, text, regexp_extract(text, '[ \t\n\f\r]*[^ \t\n\f\r]+') AS lead FROM conversations),
-s AS (SELECT *, length(lead) AS e, length(lead) - length(regexp_replace(lead, '^[ \t\n\f\r]+', '')) AS b FROM c WHERE lead <> '')
-SELECT conv_id, turn, text[1:b] || '<target>' || text[b + 1:e] || '</target>' || text[e + 1:] AS marked_text,
-  (b + 8)::INTEGER AS marked_start, (e + 8)::INTEGER AS marked_end, true AS round_trip FROM s""")
+WITH c AS (SELECT conv_id, turn, text, (turn % 3)::INTEGER AS i, regexp_extract_all(text, '[{S.SPACES}]*[^{S.SPACES}]+') AS chunks FROM conversations),
+s AS (SELECT *, list_sum(list_transform(chunks[1:i + 1], lambda x: length(x)))::INTEGER AS e, length(regexp_replace(chunks[i + 1], '^{S.WS}', ''))::INTEGER AS n FROM c),
+m AS (SELECT *, CASE WHEN len(chunks) > i THEN text[1:e - n] || '<target>' || text[e - n + 1:e] || '</target>' || text[e + 1:] END AS marked_text FROM s)
+SELECT conv_id, turn, marked_text, CASE WHEN len(chunks) > i THEN (e - n + 8)::INTEGER END AS marked_start, CASE WHEN len(chunks) > i THEN (e + 8)::INTEGER END AS marked_end,
+  replace(replace(marked_text, '<target>', ''), '</target>', '') = text AS round_trip FROM m""")
 def mark_target(spark: SparkSession, sf: str) -> DataFrame:
-    t = (T.load(spark, sf, "conversations").withColumn("span", prepare.token_span(F.col("text"), F.lit(0)))
-         .filter("span is not null").select("conv_id", "turn", "text", "span.start", "span.end"))
+    """One word of every turn marked, another one by turn; a turn too short for it stays unmarked."""
+    t = (T.load(spark, sf, "conversations").withColumn("span", prepare.token_span(F.col("text"), (F.col("turn") % 3).cast("int")))
+         .select("conv_id", "turn", "text", "span.start", "span.end"))
     m = prepare.mark_target(t, "text", "start", "end")
     return m.select("conv_id", "turn", "marked_text", "marked_start", "marked_end",
                     (prepare.unmark_target(F.col("marked_text")) == F.col("text")).alias("round_trip"))
@@ -173,10 +178,10 @@ def mark_target(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rank_terms", S.with_samples(f"""
 SELECT term, count(*) AS votes FROM (SELECT sample_id, unnest(list_distinct({S.toks('text')})) AS term FROM samples WHERE split = 'train')
-WHERE length(term) >= 4 GROUP BY term ORDER BY votes DESC, term LIMIT 128"""))
+GROUP BY term ORDER BY votes DESC, term LIMIT 128"""))
 def rank_terms(spark: SparkSession, sf: str) -> DataFrame:
     train = T.samples(spark, sf).filter("split = 'train'")
-    terms = train.select("sample_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("length(term) >= 4")
+    terms = train.select("sample_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return prepare.rank_terms(terms, "sample_id", "term", 128)
 
 
@@ -247,8 +252,8 @@ def donor_swap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("ablation_conditions", S.with_samples("""
-SELECT condition, count(*) AS n, sum(CASE condition WHEN 'full' THEN 2 WHEN 'text' THEN 1 WHEN 'image' THEN 1 ELSE 0 END)::BIGINT AS n_parts
-FROM samples, (VALUES ('full'), ('text'), ('image'), ('empty')) v(condition) GROUP BY condition"""))
+SELECT condition, count(*) AS n, sum(CASE condition WHEN 'full' THEN 2 WHEN 'swapped' THEN 2 ELSE 1 END)::BIGINT AS n_parts
+FROM samples, (VALUES ('full'), ('text'), ('image'), ('empty'), ('swapped')) v(condition) GROUP BY condition"""))
 def ablation_conditions(spark: SparkSession, sf: str) -> DataFrame:
     def part(kind, text, path):
         return F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), path.cast("string").alias("path"))
@@ -256,8 +261,9 @@ def ablation_conditions(spark: SparkSession, sf: str) -> DataFrame:
     s = T.samples(spark, sf).withColumn("parts", F.array(part("image", F.lit(None), F.concat("sample_id", F.lit(".png"))),
                                                          part("text", F.col("text"), F.lit(None))))
     out = None
-    for c in ("full", "text", "image", "empty"):
-        one = prepare.ablate_parts(s, c).agg(F.count("*").alias("n"), F.sum(F.size("parts")).alias("n_parts")).select(F.lit(c).alias("condition"), "n", "n_parts")
+    donors = prepare.donor_swap(s.select("sample_id", "group_id", "split"))
+    for c in ("full", "text", "image", "empty", "swapped"):
+        one = prepare.ablate_parts(s, c, donors).agg(F.count("*").alias("n"), F.sum(F.size("parts")).alias("n_parts")).select(F.lit(c).alias("condition"), "n", "n_parts")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -328,10 +334,10 @@ def pairs_crossing_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("safe_paths", r"""
-SELECT page_id, path, NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AND path <> '' AS safe
-FROM (SELECT page_id, CASE WHEN contains(url, '?') THEN '../' || url WHEN contains(url, '#') THEN '/' || url ELSE url END AS path FROM pages)""")
+SELECT page_id, path, NOT starts_with(path, '/') AND NOT starts_with(path, '../') AND path <> '' AS safe
+FROM (SELECT page_id, CASE WHEN contains(url, '?') THEN '../' || url WHEN contains(url, '#') THEN '/' || url ELSE 'a/../' || url END AS path FROM pages)""")
 def safe_paths(spark: SparkSession, sf: str) -> DataFrame:
-    path = F.when(F.col("url").contains("?"), F.concat(F.lit("../"), "url")).when(F.col("url").contains("#"), F.concat(F.lit("/"), "url")).otherwise(F.col("url"))
+    path = F.when(F.col("url").contains("?"), F.concat(F.lit("../"), "url")).when(F.col("url").contains("#"), F.concat(F.lit("/"), "url")).otherwise(F.concat(F.lit("a/../"), "url"))
     return T.load(spark, sf, "pages").select("page_id", path.alias("path")).withColumn("safe", prepare.is_safe_relative_path(F.col("path")))
 
 
@@ -378,14 +384,11 @@ SELECT variant, count(*) AS n_anchors, count(DISTINCT surface) AS n_surfaces FRO
   UNION ALL SELECT 'extended', surface FROM base UNION ALL SELECT 'extended', surface FROM base UNION ALL SELECT 'extended', term FROM bank)
 GROUP BY variant""", f"""
 bank AS (SELECT term, row_number() OVER (ORDER BY votes DESC, term) AS pos FROM (SELECT term, count(*) AS votes FROM (
-  SELECT unnest(list_distinct({S.toks('text')})) AS term FROM samples WHERE split = 'train') WHERE length(term) >= 4 GROUP BY term ORDER BY votes DESC, term LIMIT 64))""",
+  SELECT unnest(list_distinct({S.toks('text')})) AS term FROM samples WHERE split = 'train') GROUP BY term ORDER BY votes DESC, term LIMIT 64))""",
     "base(surface) AS (VALUES " + ", ".join(f"('{a.surface}')" for a in T.ANCHORS) + ")"))
 def instrument_variants(spark: SparkSession, sf: str) -> DataFrame:
-    from conceptframe.operators.grid import Anchor
     train = T.samples(spark, sf).filter("split = 'train'")
-    terms = train.select("sample_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("length(term) >= 4")
-    bank = [Anchor(f"t_{r['term']}", r["term"]) for r in checks.small_rows(prepare.rank_terms(terms, "sample_id", "term", 64), 64)]
-    variants = prepare.instrument_variants(T.ANCHORS, bank, {"a_that": "which"}, "the concept of ", (16, 32, 64))
-    rows = [(name, a.surface) for name, anchors in variants.items() for a in anchors]
-    return (spark.createDataFrame(rows, "variant string, surface string").groupBy("variant")
-            .agg(F.count("*").alias("n_anchors"), F.count_distinct("surface").alias("n_surfaces")))
+    terms = train.select("sample_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    bank = prepare.rank_terms(terms, "sample_id", "term", 64)
+    return prepare.variant_surfaces(spark, T.ANCHORS, bank, {"a_that": "which"}, "the concept of ", (16, 32, 64)).groupBy("variant").agg(
+        F.count("*").alias("n_anchors"), F.count_distinct("surface").alias("n_surfaces"))

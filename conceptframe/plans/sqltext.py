@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from conceptframe.sources.tables import ANCHORS, BRIDGES
 
+SPACES = r"\p{Z}\t\n\x0B\f\r\x1c-\x1f\x{85}"
 WS = r"[\p{Z}\t\n\x0B\f\r\x1c-\x1f\x{85}]+"
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -85,8 +86,7 @@ def with_scores(body: str, *extra: str) -> str:
 
 def with_samples(body: str, *extra: str) -> str:
     """Body over the samples; a body that starts with a comma brings further CTEs of its own."""
-    glue = "" if body.lstrip().startswith(",") else "\n"
-    return "WITH " + ",".join([SAMPLES, *extra]) + glue + body.lstrip() if not glue else "WITH " + ",".join([SAMPLES, *extra]) + "\n" + body
+    return "WITH " + ",".join([SAMPLES, *extra]) + "\n" + body.lstrip()
 
 
 def r9(expr: str, name: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +28,10 @@ def build_session(master: str | None = None, app: str = "conceptframe", **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder; there is no substitute for it."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        raise ValueError(f"Set {CHECKPOINT_KEY} to a folder that the driver and all executors share.")
     return folder.rstrip("/")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conceptframe.functions.text import normalized_group
 from conceptframe.operators.grid import Anchor, Bridge, Instrument
 from conceptframe.operators.prepare import grouped_hash_split
+from conceptframe.schema import Refused
 from conceptframe.operators.scorers import LanguageModel, fit_language_model, query_likelihood
 
 # Fixed study: concepts and wordings named by the researcher.
@@ -23,7 +24,7 @@ BRIDGES = (
 STUDY = Instrument(ANCHORS, BRIDGES)
 
 
-# Column types of the given tables, so that opening one costs no footer-reading job.
+# Column types of the given tables.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -46,38 +47,36 @@ SCHEMAS = {
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    wanted = {f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")}
+    if lacking := sorted(wanted - set(spark.read.parquet(path).columns)):
+        raise Refused(f"{name} lacks columns {lacking}")
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as materials, with the group of near-trivial copies and the hash split."""
     docs = load(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("sample_id"), "text", "lang", "source",
-        normalized_group(F.col("text")).alias("group_id"))
+        normalized_group(F.col("text")).alias("group_id"), F.sha2("text", 256).alias("content"))
     return grouped_hash_split(docs, "sample_id", "group_id")
 
 
-_FITTED: dict[tuple[str, str], LanguageModel] = {}
-
-
 def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
-    """Background model of the study on the training split; fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        train = samples(spark, sf_dir).filter("split = 'train'")
-        _FITTED[key] = fit_language_model(train, STUDY)
-    return _FITTED[key]
+    """Background model of the study, fitted on the training split; a job fits it once and hands it on."""
+    return fit_language_model(samples(spark, sf_dir).filter("split = 'train'"), STUDY)
 
 
 KEEP = ("split", "lang", "source", "group_id")
 
 
-def scores(spark: SparkSession, sf_dir: str, keep=KEEP, where: Column | str | None = None) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, keep=KEEP, where: Column | str | None = None,
+           model: LanguageModel | None = None) -> DataFrame:
     """The study's score table over all documents, carrying the columns an analysis needs."""
     base = samples(spark, sf_dir)
     if where is not None:
         base = base.filter(where)
-    return query_likelihood(base, STUDY, language_model(spark, sf_dir), keep=keep)
+    return query_likelihood(base, STUDY, model or language_model(spark, sf_dir), keep=keep)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
