@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation", "metrics")
+MODULES = ("measure", "preparation", "metrics", "analysis")
 
 
 def load_all():
