@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation", "metrics", "analysis")
+MODULES = ("measure", "preparation", "metrics", "analysis", "geometry")
 
 
 def load_all():
