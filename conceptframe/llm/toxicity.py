@@ -89,21 +89,24 @@ def scale(bounds: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, DECAY ** 6))
 
 
-def kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised subsequence kernel, units x landmarks."""
+def kernel(units: list[bytes], landmarks: list[bytes], at_once: int = 32) -> np.ndarray:
+    """Normalised subsequence kernel, units x landmarks; a few landmarks at a time keep the tables small."""
     symbols, bounds = symbols_of(units)
-    marks, mark_bounds = symbols_of(landmarks)
-    table = np.zeros((SYMBOLS ** 3, len(landmarks)), np.float32)
-    for who, what, weight in triples(marks, mark_bounds):
-        np.add.at(table, (what, who), weight)
     out = np.zeros((len(units), len(landmarks)))
-    for who, what, weight in triples(symbols, bounds):
-        for start in range(0, len(who), 20_000):
-            part = slice(start, start + 20_000)
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(who[part]) > 0])) if len(who[part]) else []
-            if len(heads):
-                out[who[part][heads]] += weight * np.add.reduceat(table[what[part]], heads, axis=0)
-    return out / (scale(bounds)[:, None] * scale(mark_bounds)[None, :])
+    for first in range(0, len(landmarks), at_once):
+        marks, mark_bounds = symbols_of(landmarks[first:first + at_once])
+        table = np.zeros((SYMBOLS ** 3, len(mark_bounds) - 1), np.float32)
+        for who, what, weight in triples(marks, mark_bounds):
+            np.add.at(table, (what, who), weight)
+        own = out[:, first:first + at_once]
+        for who, what, weight in triples(symbols, bounds):
+            for start in range(0, len(who), 20_000):
+                part = slice(start, start + 20_000)
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(who[part]) > 0])) if len(who[part]) else []
+                if len(heads):
+                    own[who[part][heads]] += weight * np.add.reduceat(table[what[part]], heads, axis=0)
+        own /= scale(bounds)[:, None] * scale(mark_bounds)[None, :]
+    return out
 
 
 @dataclass
