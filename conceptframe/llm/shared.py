@@ -25,11 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def kept(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Written once to the shared folder and read back: later steps neither recompute nor lose it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
