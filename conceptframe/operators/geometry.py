@@ -146,3 +146,44 @@ def fit_ridge(train: DataFrame, vector: str, label: str, penalties: Sequence[flo
 def predict_scores(rows: DataFrame, vector: str, weights: Sequence[float], bias: float, name: str = "prediction") -> DataFrame:
     wrong = F.size(vector) != len(weights)
     return rows.withColumn(name, refused_if(wrong, "A vector has another length than the probe", projected(F.col(vector), weights, bias)))
+
+
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 20, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """Rows with their cluster, and the centres; the first centres are the rows with the smallest digests.
+
+    A round is one pass: each row finds its centre among k constants, each task adds up its own rows,
+    and k sums come back. It ends when no centre moves. Empty clusters keep their centre.
+    """
+    first = rows.filter(F.col(vector).isNotNull()).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(k)
+    centres = np.array([r[0] for r in first.select(F.col(vector).cast("array<double>")).collect()], float)
+    if len(centres) < k:
+        raise Refused("Fewer rows than clusters.")
+    for _ in range(rounds):
+        parts = _cluster_sums(rows, vector, centres).groupBy("cluster", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
+        new = centres.copy()
+        new[parts["cluster"], parts["i"]] = parts["s"] / parts["n"]
+        if np.allclose(new, centres, rtol=0, atol=1e-12):
+            break
+        centres = new
+    parts = [F.lit(float(c)) for c in centres.ravel()]
+    width = centres.shape[1]
+    far = [F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*parts[c * width:(c + 1) * width]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) for c in range(k)]
+    near = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(c).alias("c")) for c, d in enumerate(far)]))
+    return rows.withColumn("cluster", F.when(F.col(vector).isNotNull(), near["c"])), centres
+
+
+def _cluster_sums(rows: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros_like(centres), np.zeros(len(centres))
+        for batch in batches:
+            held = batch.column(0).drop_null()
+            if not len(held):
+                continue
+            x = held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), centres.shape[1])
+            near = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2).argmin(1)
+            np.add.at(sums, near, x)
+            counts += np.bincount(near, minlength=len(centres))
+        c, i = np.nonzero(np.repeat(counts[:, None] > 0, centres.shape[1], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(sums[c, i]), pa.array(counts[c])], ["cluster", "i", "s", "n"])
+
+    return rows.select(F.col(vector).cast("array<double>")).mapInArrow(work, "cluster int, i int, s double, n double")

@@ -219,3 +219,43 @@ def group_difference(rows: DataFrame, column: str, group: str, a: str, b: str, v
     """Per column the means of two groups and their difference."""
     ga, gb = (F.avg(F.when(F.col(group) == g, F.col(value))) for g in (a, b))
     return rows.groupBy(column).agg(ga.alias("mean_a"), gb.alias("mean_b"), (ga - gb).alias("difference"))
+
+
+# --- wordings and ledgers ----------------------------------------------------------------------
+
+def bridge_reliability(scores: DataFrame, variant: str = "raw_logp") -> DataFrame:
+    """Per anchor and pair of wordings the rank agreement over materials.
+
+    The wordings of one cell are brought together in one row first (their number is the instrument's),
+    so that no table is joined with itself.
+    """
+    cells = scores.groupBy("sample_id", "anchor_id").agg(F.array_sort(F.collect_list(F.struct("bridge_id", F.col(variant).alias("v")))).alias("_c"))
+    first = cells.select("anchor_id", "_c", F.posexplode("_c").alias("_i", "_x"))
+    pairs = first.select("anchor_id", "_x", F.explode(F.filter("_c", lambda c, j: j > F.col("_i"))).alias("_y"))
+    rows = pairs.select("anchor_id", F.col("_x.bridge_id").alias("first"), F.col("_y.bridge_id").alias("second"), F.col("_x.v").alias("a"), F.col("_y.v").alias("b"))
+    return spearman(rows, ["anchor_id", "first", "second"], "a", "b")
+
+
+def template_radii(scores: DataFrame, variant: str = "raw_logp") -> DataFrame:
+    """Per material the largest distance of a wording's concept vector from the mean of all wordings."""
+    cells = scores.groupBy("sample_id", "anchor_id").agg(F.avg(variant).alias("_m"), F.collect_list(F.struct("bridge_id", F.col(variant).alias("v"))).alias("_c"))
+    off = cells.select("sample_id", "_m", F.explode("_c").alias("c"))
+    each = off.groupBy("sample_id", "c.bridge_id").agg(F.sqrt(F.sum((F.col("c.v") - F.col("_m")) * (F.col("c.v") - F.col("_m")))).alias("_d"))
+    return each.groupBy("sample_id").agg(F.max("_d").alias("radius"))
+
+
+def token_count_summary(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("anchor_id", "bridge_id").agg(F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.avg("token_count").alias("mean"))
+
+
+def coverage_ledger(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows found per key against the number expected; unexpected and missing keys are listed too."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("found"))
+    both = found.join(expected.select(*keys, "expected"), list(keys), "full_outer")
+    return both.select(*keys, F.coalesce("found", F.lit(0)).alias("found"), "expected", F.coalesce(F.col("found") == F.col("expected"), F.lit(False)).alias("complete"))
+
+
+def cost_ledger(jobs: DataFrame, job: str, state: str, order: str, hours: Sequence[str]) -> DataFrame:
+    """Per state the number of jobs and their hours; a job counts once, under its last state."""
+    one = jobs.groupBy(job).agg(F.max_by(state, order).alias(state), *[F.max(h).alias(h) for h in hours])
+    return one.groupBy(state).agg(F.count("*").alias("jobs"), *[F.sum(h).alias(h) for h in hours])

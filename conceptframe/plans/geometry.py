@@ -48,3 +48,9 @@ def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     train, dev, test = v.filter("_h < 0.6"), v.filter("_h >= 0.6 and _h < 0.8"), v.filter("_h >= 0.8")
     w, b, _ = geometry.fit_ridge(train, "vector", "label", dev=dev)
     return geometry.predict_scores(test, "vector", w, b).select("sample_id", "label", F.round("prediction", 6).alias("prediction"))
+
+
+@query("kmeans")
+def kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = geometry.kmeans(T.vectors(spark, sf), "sample_id", "vector", 10)
+    return out.select("sample_id", "label", "cluster")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptframe.functions.numeric import r9
 from conceptframe.operators import metrics
+from conceptframe.plans import sqltext as S
 from conceptframe.plans.registry import query
 from conceptframe.sources import tables as T
 
@@ -218,3 +219,42 @@ def pair_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     known = d.select((F.col("sample_id") - 1).alias("left"))
     pairs = d.select(F.col("sample_id").alias("left"), (F.col("sample_id") + 1).alias("right"), "lang").join(known, "left", "left_semi")
     return metrics.pair_endpoints(pairs, d, "lang").select("left", "right", "lang")
+
+
+@query("bridge_reliability", S.with_scores(f"""
+SELECT anchor_id, "first", "second", CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 9) END AS spearman, count(*) AS n FROM r GROUP BY ALL""", f"""
+p AS (SELECT x.anchor_id, x.bridge_id AS "first", y.bridge_id AS "second", round(x.raw_logp, 9) AS a, round(y.raw_logp, 9) AS b
+  FROM scores x JOIN scores y ON x.sample_id = y.sample_id AND x.anchor_id = y.anchor_id AND x.bridge_id < y.bridge_id)""", f"""
+r AS (SELECT anchor_id, "first", "second", {RANK_SQL.format(k='anchor_id, "first", "second"', c='a')} AS ra, {RANK_SQL.format(k='anchor_id, "first", "second"', c='b')} AS rb FROM p)"""))
+def bridge_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    scores = T.scores(spark, sf, keep=()).withColumn("raw_logp", r9(F.col("raw_logp")))
+    out = metrics.bridge_reliability(scores)
+    return out.select("anchor_id", "first", "second", r9(F.col("spearman")).alias("spearman"), "n")
+
+
+@query("template_radii", S.with_scores("""
+SELECT sample_id, round(max(d), 8) AS radius FROM (SELECT sample_id, bridge_id, sqrt(sum((raw_logp - m) ** 2)) AS d
+  FROM (SELECT *, avg(raw_logp) OVER (PARTITION BY sample_id, anchor_id) AS m FROM scores) GROUP BY ALL) GROUP BY sample_id"""))
+def template_radii(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.template_radii(T.scores(spark, sf, keep=())).select("sample_id", F.round("radius", 8).alias("radius"))
+
+
+@query("token_count_summary", S.with_scores("SELECT anchor_id, bridge_id, min(token_count)::INTEGER AS least, max(token_count)::INTEGER AS most, avg(token_count) AS mean FROM scores GROUP BY ALL"))
+def token_count_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.token_count_summary(T.scores(spark, sf, keep=()))
+
+
+@query("coverage_ledger", """
+WITH f AS (SELECT conv_id, count(*) AS found FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, max(turn) + 1 AS expected FROM conversations GROUP BY conv_id)
+SELECT conv_id, found, expected, found = expected AS complete FROM f JOIN e USING (conv_id)""")
+def coverage_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of each conversation against its highest turn number."""
+    c = T.load(spark, sf, "conversations")
+    return metrics.coverage_ledger(c, c.groupBy("conv_id").agg((F.max("turn") + 1).alias("expected")), ["conv_id"])
+
+
+@query("cost_ledger", """
+SELECT status, count(*) AS jobs, round(sum(hours), 6) AS hours FROM (SELECT user_id, arg_max(event_type, event_id) AS status, max(value) AS hours FROM events GROUP BY user_id) GROUP BY status""")
+def cost_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    e = T.load(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("status"), F.col("value").alias("hours"))
+    return metrics.cost_ledger(e, "user_id", "status", "event_id", ["hours"]).select("status", "jobs", F.round("hours", 6).alias("hours"))

@@ -62,3 +62,16 @@ def test_bad_vectors(spark):
     for rows in ([(0, [1.0, float("nan")], None)], [(0, [1.0], None), (1, [1.0, 2.0], None)]):
         with pytest.raises(PySparkException):
             geometry.moments(spark.createDataFrame(rows, "id bigint, v array<double>, y double").coalesce(1), "v").collect()
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(30, 2)) + c for c in ((0, 0), (9, 9), (-9, 9))])
+    df = table(spark, x)
+    out, centres = geometry.kmeans(df, "id", "v", 3)
+    got = np.array([r.cluster for r in out.orderBy("id").collect()])
+    assert (got == ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)).all()
+    for c in range(3):
+        assert np.allclose(centres[c], x[got == c].mean(0))
+    again, _ = geometry.kmeans(df.repartition(7), "id", "v", 3)
+    assert (np.array([r.cluster for r in again.orderBy("id").collect()]) == got).all()
