@@ -37,49 +37,55 @@ NAME = "op8_token_files"
 SQL = None  # a tokenizer is no SQL; tests hold ids and round trips against the library itself
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, LEAST = 7, 4096, 6
+ROUNDS, PAIRS_A_ROUND, LEAST = 7, 2048, 6
+BIN_BITS = 18  # pairs are counted in so many bins
 MAGIC = b"PAIRGRM1"
 SHARDS = ("part int, seq int, n_docs int, n_ids bigint, doc_ids binary, id_nulls binary, image binary")
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, first: int) -> bytes:
     """Image of consecutive documents' ids. `first`: the first number that no id uses."""
-    symbols = ids.astype(np.uint32)
+    wide = first + ROUNDS * PAIRS_A_ROUND > 1 << 16
+    half, word = (32, np.uint64) if wide else (16, np.uint32)
+    spread_, cut = (word(0x9E3779B97F4A7C15), word(64 - BIN_BITS)) if wide else (word(0x9E3779B1), word(32 - BIN_BITS))
+    symbols = ids.astype(word)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths) - 1] = True
-    wide = first + ROUNDS * PAIRS_A_ROUND > 1 << 16
     room = (1 << 31 if wide else 1 << 16) - first
     left, right = [], []
     used, expansion = 0, np.zeros(min(room, ROUNDS * PAIRS_A_ROUND), np.uint32)
     for _ in range(ROUNDS):
         if len(symbols) < 2 or room - used < 1:
             break
-        pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        free = ~last[:-1]
-        counts = np.bincount(bins[free], minlength=1 << 20)
-        at = np.flatnonzero(free)
-        holder = np.zeros(1 << 20, np.uint64)
-        holder[bins[at]] = pair[at]  # one pair for each bin; another one in the same bin waits
+        at = np.flatnonzero(~last[:-1])  # where a pair may begin
+        pair = (symbols[at] << word(half)) | symbols[at + 1]
+        bins = ((pair * spread_) >> cut).astype(np.intp)
+        counts = np.bincount(bins, minlength=1 << BIN_BITS)
+        holder = np.zeros(1 << BIN_BITS, word)
+        holder[bins] = pair  # one pair for each bin; another one in the same bin waits
         heavy = np.flatnonzero(counts >= LEAST)
         most = min(PAIRS_A_ROUND, room - used)
         if len(heavy) > most:
             heavy = heavy[np.argpartition(counts[heavy], len(heavy) - most)[len(heavy) - most:]]
         if not len(heavy):
             break
-        number = np.zeros(1 << 20, np.uint32)
-        number[heavy] = first + used + np.arange(len(heavy), dtype=np.uint32)
-        put = np.flatnonzero(free & (number[bins] > 0) & (holder[bins] == pair))
+        number = np.zeros(1 << BIN_BITS, word)
+        number[heavy] = first + used + np.arange(len(heavy), dtype=word)
+        new = number[bins]
+        chosen = np.flatnonzero(new)
+        chosen = chosen[holder[bins[chosen]] == pair[chosen]]
+        put = at[chosen]
         follows = np.concatenate([[False], np.diff(put) == 1])
         run = np.flatnonzero(~follows)
         since = np.arange(len(put)) - np.repeat(run, np.diff(np.append(run, len(put))))
-        put = put[since % 2 == 0]
-        a, b = (holder[heavy] >> np.uint64(32)).astype(np.uint32), (holder[heavy] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        chosen = chosen[since % 2 == 0]
+        put = at[chosen]
+        a, b = (holder[heavy] >> word(half)).astype(np.uint32), (holder[heavy] & word((1 << half) - 1)).astype(np.uint32)
         expansion[used:used + len(heavy)] = _width(a, first, expansion) + _width(b, first, expansion)
         left.append(a)
         right.append(b)
         used += len(heavy)
-        symbols[put] = number[bins[put]]
+        symbols[put] = new[chosen]
         last[put] = last[put + 1]
         keep = np.ones(len(symbols), bool)
         keep[put + 1] = False
