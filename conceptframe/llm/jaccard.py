@@ -43,7 +43,7 @@ ORDERS = 8  # taken two by two, so that a group's members mostly are near copies
 MEMBERS = 1000
 LONG = 512  # classes under one token; longer lists are opened as a whole
 POSTINGS = 2_000_000  # in a bucket of the matrix
-COMMON = 24
+COMMON = 12
 COMMON_MOST = 500_000  # tokens that the order puts last
 _FACTORS = mix(np.arange(11, 11 + 64, dtype=U64)) | U64(1)
 
@@ -234,15 +234,16 @@ def meetings(described_rows: DataFrame, groups: DataFrame, percent: int) -> Data
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _runs(batches, "bucket", "part"):
             columns = [np.concatenate(c) for c in zip(*[_unpacked(p) for p in parts])]
-            for lists, found in zip((0, 1), _met(*columns, percent)):
+            for lists, found in enumerate(_met(*columns, percent)):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.full(len(found[0]), lists, np.int32))], ["x", "y", "sid", "c", "lists"])
 
     parts = rows.mapInArrow(scatter, "bucket int, part binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = parts.mapInArrow(gather, "x bigint, y bigint, sid bigint, c bigint, lists int")
     # x: the class's own group, y: the other one, c: its tokens there, from one bucket
-    counted = found.filter("lists = 0").groupBy("sid", "x", "y").agg(F.sum("c").alias("c")).join(groups.select("sid", "n"), "sid")
+    counted = found.filter("lists <> 1").groupBy("sid", "x", "y", "lists").agg(F.sum("c").alias("c")).join(groups.select("sid", "n"), "sid")
     least = F.floor((percent * F.col("n") + 99) / 100)
-    near = counted.filter(F.col("c") >= shared_at_least_sql(least)).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "sid")
+    sides = F.when(F.col("lists") == 2, F.array("x", "y")).otherwise(F.array("sid"))
+    near = counted.filter(F.col("c") >= shared_at_least_sql(least)).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), F.explode(sides).alias("sid"))
     whole = found.filter("lists = 1").select(F.col("x").alias("lo"), F.col("y").alias("hi"), "sid").distinct()
     own = groups.filter("members > 1").select(F.col("gid").alias("lo"), F.col("gid").alias("hi"), "sid")
     return near.unionByName(whole).unionByName(own)
@@ -288,9 +289,9 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[l
         yield held
 
 
-def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray, percent: int) -> tuple[tuple, tuple]:
-    """Meetings from one bucket of the matrix: (own group, other group, class, tokens shared), and the
-    classes of lists too long for that: (list, part, class, 0)."""
+def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray, percent: int) -> tuple[tuple, tuple, tuple]:
+    """Meetings from one bucket of the matrix: (own group, other group, class, tokens shared), the classes
+    of lists too long for that: (list, part, class, 0), and the former once for two groups of one class."""
     order = np.argsort(token, kind="stable")
     t = token[order]
     same = np.zeros(len(t), bool)
@@ -305,7 +306,8 @@ def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray,
     counts = np.diff(np.append(heads, len(token)))
     long = np.repeat(counts > LONG, counts)
     number = np.cumsum(first) - 1
-    mine, other, who, by = [], [], [], []
+    alone = gid == sid  # groups of one class: a row for the pair stands for both sides
+    mine, other, who, by, pairs = [], [], [], [], []
     live, step = np.flatnonzero(~long), 1
     while len(live):  # the next class of a list, then the one after it, while sizes fit
         live = live[live + step < len(token)]
@@ -314,23 +316,28 @@ def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray,
         there = live + step
         differ = gid[live] != gid[there]
         for a, b in ((live[differ], there[differ]), (there[differ], live[differ])):
+            both = alone[a] & alone[b]
+            needed = ~both | (sid[a] < sid[b])
+            a, b = a[needed], b[needed]
+            pairs.append(both[needed])
             mine.append(gid[a])
             other.append(gid[b])
             who.append(sid[a])
             by.append(number[a])
         step += 1
     none = np.zeros(0, np.int64)
-    near = (none, none, none, none)
+    near = two = (none, none, none, none)
     if sum(map(len, who)):
-        who, other, by, mine = (np.concatenate(c) for c in (who, other, by, mine))
+        who, other, by, mine, pairs = (np.concatenate(c) for c in (who, other, by, mine, pairs))
         order = np.lexsort((by, other, who))
-        who, other, by, mine = who[order], other[order], by[order], mine[order]
+        who, other, by, mine, pairs = who[order], other[order], by[order], mine[order], pairs[order]
         pair = np.ones(len(who), bool)
         pair[1:] = (who[1:] != who[:-1]) | (other[1:] != other[:-1])
         fresh = pair.copy()
         fresh[1:] |= by[1:] != by[:-1]
         at = np.flatnonzero(pair)
-        near = (mine[at], other[at], who[at], np.add.reduceat(fresh.astype(np.int64), at))
+        shared = np.add.reduceat(fresh.astype(np.int64), at)
+        near, two = (tuple(c[keep] for c in (mine[at], other[at], who[at], shared)) for keep in (~pairs[at], pairs[at]))
     lists, parts, members, seen = [], [], [], set()
     for h, n in zip(heads[counts > LONG].tolist(), counts[counts > LONG].tolist()):
         own = np.unique(sid[h:h + n])
@@ -348,9 +355,9 @@ def _met(token: np.ndarray, sid: np.ndarray, gid: np.ndarray, size: np.ndarray,
                 lists.append(np.full(len(both), name, np.int64))
                 parts.append(np.full(len(both), -1 - (i * len(chunks) + j), np.int64))
     if not members:
-        return near, (none, none, none, none)
+        return near, (none, none, none, none), two
     who = np.concatenate(members)
-    return near, (np.concatenate(lists), np.concatenate(parts), who, np.zeros(len(who), np.int64))
+    return near, (np.concatenate(lists), np.concatenate(parts), who, np.zeros(len(who), np.int64)), two
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
