@@ -64,6 +64,8 @@ class Parse:
         at = _leftmost_minimum(key, first_d)  # trigger of the string that starts at each byte
         size = np.diff(offsets)
         long = np.flatnonzero(size >= SPAN)
+        if not len(long):
+            return
         starts = ranges(offsets[:-1][long], size[long] - SPAN + 1)
         row = np.repeat(long, size[long] - SPAN + 1)
         trigger = at[starts]
@@ -376,7 +378,7 @@ def repeated_strings(context, around, key, trigger, low, high) -> tuple[np.ndarr
         at = order[1:][again]
         keys.append(key[at])
         starts.append(trigger[at].astype(np.int64) - d)
-    if not keys:
+    if not sum(map(len, keys)):
         none = np.zeros(0, np.int64)
         return none, none.astype("<i4"), none.astype("<i4")
     k, s = np.concatenate(keys), np.concatenate(starts)

@@ -45,6 +45,13 @@ def test_edges_and_exact_lengths(table):
     assert found(table(rows)) == brute(rows)
 
 
+def test_only_short_texts_and_strings_that_share_no_whole_span(table):
+    short = [(i, "short text") for i in range(20)]
+    assert found(table(short)) == brute(short)
+    near = [(1, "k" * 60 + "common part of both texts, long enough for a context of its own, " + "l" * 40), (2, "m" * 60 + "common part of both texts, long enough for a context of its own, " + "n" * 40)]
+    assert found(table(near)) == brute(near)
+
+
 def test_what_is_left(table):
     row = [(1, "u" * 10 + "abcdefghij" * 12), (2, "abcdefghij" * 12 + "vw")]
     out = {r.doc_id: bytes(r.kept) for r in repeated_passages(table(row), with_text=True).collect()}

@@ -24,7 +24,7 @@ def corpus(n=400):
             words[9] = value
         else:
             value = f"path/anthereonties-{rng.randint(100, 999)}"
-            words[9] = f"./{value}.txt"
+            words[9] = f"{value}.txt"
         rows.append((i, " ".join(words)))
         truth[i] = (value, kind < 2)
     return rows, truth
