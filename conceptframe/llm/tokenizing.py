@@ -99,8 +99,18 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([words - blank, own, last]))
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+
+
 class WordIds:
-    """Ids of rows under a tokenizer that drops white space: each distinct word is encoded once."""
+    """Ids of rows under a tokenizer that drops white space and case: each distinct word is encoded once.
+
+    To have fewer distinct words, a comma or full stop after an ASCII letter or digit at a word's end
+    is a word of its own (no pre-token holds both), and capitals A-Z are made small unless a
+    character beyond ASCII follows (it might combine with them) or the block holds "<|", which begins
+    the special strings.
+    """
 
     def __init__(self, name: str):
         self.name = name
@@ -121,6 +131,20 @@ class WordIds:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number in each row."""
         starts, ends, firsts = spans(data, offsets, SPACES)
+        if len(starts):
+            final = data[ends - 1]
+            apart = np.flatnonzero(((final == 0x2C) | (final == 0x2E)) & (ends - starts > 1))
+            apart = apart[_ALNUM[data[ends[apart] - 2]]]
+            marks = ends[apart] - 1
+            order = np.argsort(np.concatenate([starts, marks]), kind="stable")
+            cut = ends.copy()
+            cut[apart] = marks
+            starts, ends = np.concatenate([starts, marks])[order], np.concatenate([cut, marks + 1])[order]
+            firsts = np.searchsorted(starts, offsets)
+            if b"<|" not in data.tobytes():
+                capital = (data >= 65) & (data <= 90)
+                capital[:-1] &= data[1:] < 128
+                data = data + capital.astype(np.uint8) * np.uint8(32)
         where = self.words(data, starts, ends, range_hashes(data, starts, ends))
         if len(self.pool) > 1:
             self.pool = [np.concatenate(self.pool)]

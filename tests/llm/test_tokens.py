@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from conceptframe.llm import tokencounts, tokenfiles
 from conceptframe.llm.tokenizing import word_ids
 
-ODD = [(20, "foo  <|endoftext|> bar"), (21, "a \n\n b\r\n  c "), (22, "don't we'll\t\tgo  "), (23, "x  y  z"), (24, " lead"), (25, "<|startoftext|>")]
+ODD = [(20, "foo  <|endoftext|> bar"), (21, "a \n\n b\r\n  c "), (22, "don't we'll\t\tgo  "), (23, "x  y  z"), (24, " lead"), (25, "<|startoftext|>"), (26, "Word, word. WORD J\u030cA I\u0307, It\u2019S IT'S. 3.5, a.b,, \u00c9, x\u0301.")]
 
 
 def test_counts_are_the_library_s(table):
