@@ -67,3 +67,37 @@ def test_edges(spark, table):
 def test_nothing_leaves_the_jvm(table):
     plan = secrets.secret_scan(table(corpus(60)[0]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_each_label_has_its_share_of_a_small_sample(table):
+    rows = [(i, f"and {10**15 + i} then") for i in range(300)] + [(1000 + i, f"and AKIA{chr(65 + i) * 8}QZ7X{i:04d} then") for i in range(4)]
+    out = {r.doc_id: r for r in secrets.secret_scan(table(rows), train=20).collect()}
+    assert all(out[1000 + i].secret == 1 for i in range(4))
+    assert sum(r.secret for r in out.values()) == 4
+
+
+def test_short_and_broken_values_near_a_keyword_or_assignment(table):
+    rows = [(1, "password=hunter2"), (2, "the password is swordfish then"), (3, 'key: "a.b!c@d" x'), (4, '{"token":"abc.1!x","b":"c"}'),
+            (5, "pass=a"), (6, "https://user:pw@host/?q=1"), (7, "password=correcthorsebattery"), (8, "key1=7602ad27cf5550de1c"), (9, "nothing to see here")]
+    out = {}
+    for r in secrets.candidates(table(rows)).collect():
+        out.setdefault(r.doc_id, {})[r.value] = r.path
+    assert out[1] == {"hunter2": "password="}
+    assert out[2] == {"is": "", "swordfish": ""}
+    assert out[3]["a.b!c@d"] == '"'
+    assert out[4] == {"abc.1!x": '{"token":"', "c": '{"token":"abc.1!x","b":"'}
+    assert out[5] == {"a": "pass="}
+    assert out[6] == {"pw@host/": "https://user:", "1": "https://user:pw@host/?q="}
+    assert out[7] == {"correcthorsebattery": "password="}
+    assert "7602ad27cf5550de1c" in out[8]
+    assert 9 not in out
+
+
+def test_hexadecimal_values_in_capitals(table):
+    one = secrets.sure_labels(secrets.described(secrets.candidates(table([(1, "x " + "1BEB58B8" * 4)])), [])).first()
+    assert one.hexadecimal == 1 and one.label == 1
+
+
+def test_what_defines_the_labels_is_no_feature(table):
+    out = secrets.secret_scan(table(corpus(60)[0]))
+    assert out.filter("label is not null").count() > 0 and secrets.FORM < set(secrets.FEATURES)
