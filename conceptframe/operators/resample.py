@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from conceptframe.functions.hashing import digest
 from conceptframe.operators.ordering import hash_positions
 
-REPLICATES = 200  # a statistical choice: the same in library and queries
+REPLICATES = 1000  # that of the reference; the same in library and queries
 
 
 def draw(seed: int, *parts: Column) -> Column:
