@@ -451,10 +451,8 @@ def opened(docs: DataFrame, groups: DataFrame, met: DataFrame, words: int, perce
     return texts.repartition(parts, "lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(work, "a bigint, b bigint")
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), class_id for each row."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, sig, component, class_id and root (the component's own number; null for empty sets)."""
     rows = kept(described(docs, common_tokens(docs, words), words, percent), "sets")
     groups = grouped(rows)
     links = kept(opened(docs, groups, meetings(rows, groups, percent), words, percent), "stars")
@@ -462,19 +460,43 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     named = groups.select("sid", "sig", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = named.join(smallest, "root").select("sig", "component", F.col("sid").alias("class_id"))
-    out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left")
+    classes = named.join(smallest, "root").select("sig", "component", F.col("sid").alias("class_id"), "root")
+    return rows.select("doc_id", "n", "sig").join(classes, "sig", "left")
+
+
+def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
+                 text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), class_id for each row."""
+    out = _joined(_narrow(docs, id_column, text_column), words, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class_id")
 
 
-def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays (the smallest id, one of its rows); null ids and empty
-    texts all stay."""
+    texts all stay. Rows of a repeated id are told apart by their texts."""
     columns = docs.columns
-    found = jaccard_join(docs, **options)
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    # equal ids: rows of one id are in one component or differ in text; one row of each (id, text) stays
-    return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    found = kept(_joined(_narrow(docs, "doc_id", "text"), words, percent).select("doc_id", "sig", "component", "root"), "joined")
+    gone = found.filter("component != doc_id").select("doc_id").distinct()
+    repeated = kept(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    single = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti").select(*columns)
+    # rows of repeated ids get a number of their own, and by it the set of their text and its component
+    names = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    own = docs.join(repeated, "doc_id", "left_semi").select(*names, F.monotonically_increasing_id().alias("_row"))
+    own = kept(own, "repeated_rows")
+    id_, text = (f"c{columns.index(c)}" for c in ("doc_id", "text"))
+    plain = own.select(F.col("_row").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sets = described(plain, common_tokens(plain, words), words, percent).select(F.col("doc_id").alias("_row"), "n", "sig")
+    classes = found.filter("root is not null").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_doc"), "sig", "component", "root").distinct()
+    placed = kept(own.select("_row", F.col(id_).alias("_doc")).join(sets, "_row").join(classes, ["_doc", "sig"], "left").select("_row", "_doc", "n", "component", "root"), "placed")
+    first = placed.filter("n > 0 and component = _doc").groupBy("root").agg(F.min("_row").alias("_row")).select("_row")
+    stay = first.union(placed.filter("n = 0").select("_row"))
+    return single.unionByName(own.join(stay, "_row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

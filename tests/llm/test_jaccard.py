@@ -88,3 +88,13 @@ def test_chains_and_stars_become_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, None), (300, 300)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert roots == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 140)}}
+
+
+def test_rows_of_a_repeated_id_are_decided_by_their_texts(table):
+    copy, own, more = "a b c d e f g", "quite another text of words here", "third kind of words in this row"
+    rows = [(1, copy), (2, copy), (2, own), (3, more), (3, more), (4, more), (5, ""), (5, ""), (None, copy), (6, own), (7, "u v w x y z"), (7, "h i j k l m")]
+    df = table(rows)
+    out = jaccard.without_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([
+        ("1", copy), ("2", own), ("3", more), ("5", ""), ("5", ""), ("None", copy), ("7", "u v w x y z"), ("7", "h i j k l m")])
