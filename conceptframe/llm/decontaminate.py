@@ -194,16 +194,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             union = union.unionByName(part)
         found = union.groupBy("_keep__row").agg(
             *[F.first(c).alias(c) for c in ["_id", *carried] if c != "_keep__row"], F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
             F.max("longest").alias("longest"))
     hit = F.col("hits").getField("start"), F.col("hits").getField("length")
     covered = F.aggregate(F.array_sort("hits"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")), lambda s, h: F.struct(
         (s["n"] + F.greatest(F.lit(0), h["start"] + h["length"] - F.greatest(s["end"], h["start"].cast("bigint")))).alias("n"),
         F.greatest(s["end"], (h["start"] + h["length"]).cast("bigint")).alias("end")))["n"]
-    items = F.array_sort("items")
+    items = F.array_sort(F.array_distinct("items"))  # an id may have several rows, in one block or in several
     return found.select(
         F.col("_id").alias("doc_id"), *[F.col(f"_keep_{k}").alias(k) for k in keep if k not in (id_column,)],
-        "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), items.alias("items"),
+        "n_words", covered.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), items.alias("items"),
         F.col("hits").alias("locations"), F.col("longest").alias("longest_match"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 

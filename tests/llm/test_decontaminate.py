@@ -73,3 +73,10 @@ def test_no_rows(spark, table):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(table([]), none).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(table(EDGES), none).collect()} == {0}
+
+
+def test_a_repeated_item_row_counts_once_in_one_block_and_in_several(spark, table):
+    bench = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (7, "two three"), (8, "three")], "item_id bigint, text string")
+    for options in ({}, {"most": 5}):
+        one = decontaminate.contamination(table([(1, "x one two three y")]), bench, **options).first()
+        assert (one.n_items, one["items"], one.n_hit) == (2, ["7", "8"], 3)
