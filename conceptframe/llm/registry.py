@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("sharding", "jaccard", "repeats", "toxicity", "secrets", "mixing", "nearest", "tokenfiles",
-           "tokencounts", "decontaminate", "negatives", "exactdups")
+           "tokencounts", "decontaminate", "negatives", "exactdups", "prefixtrie")
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
