@@ -18,6 +18,7 @@ from conceptframe.operators.checks import refused_if
 from conceptframe.schema import Refused
 
 COLUMNS_MOST = 1024
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)  # fixed: the reference's grid for ridge probes
 
 
 def moments(rows: DataFrame, vector: str, shift: Sequence[float] | None = None) -> DataFrame:
@@ -100,10 +101,10 @@ def covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, in
     return mean, cov, n
 
 
-def pca(rows: DataFrame, vector: str, components: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Rows with `components` scores, the axes and the shares of variance.
+def pca(rows: DataFrame, vector: str, components: int) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+    """Rows with `components` scores, the axes, their shares of variance and the whole variance.
 
-    Axes are centred and signed so that the largest part of each is positive.
+    Without any variance the shares are NaN. Axes are centred and signed so that the largest part of each is positive.
     """
     mean, cov, _ = covariance(rows, vector)
     values, axes = np.linalg.eigh(cov)
@@ -111,7 +112,7 @@ def pca(rows: DataFrame, vector: str, components: int) -> tuple[DataFrame, np.nd
     axes = axes[:, order].T
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
     shares = values[order] / values.sum() if values.sum() > 0 else np.full(len(order), np.nan)
-    return rows.withColumn("scores", F.array(*[projected(F.col(vector), a, float(-(a @ mean))) for a in axes])), axes, shares
+    return rows.withColumn("scores", F.array(*[projected(F.col(vector), a, float(-(a @ mean))) for a in axes])), axes, shares, float(values.sum())
 
 
 def projected(vector: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
@@ -120,7 +121,7 @@ def projected(vector: Column, weights: Sequence[float], bias: float = 0.0) -> Co
     return F.aggregate(terms, F.lit(float(bias)), lambda s, v: s + v)
 
 
-def fit_ridge(train: DataFrame, vector: str, label: str, penalties: Sequence[float] = (0.1, 1.0, 10.0, 100.0), dev: DataFrame | None = None) -> tuple[np.ndarray, float, float]:
+def fit_ridge(train: DataFrame, vector: str, label: str, penalties: Sequence[float] = PENALTIES, dev: DataFrame | None = None) -> tuple[np.ndarray, float, float]:
     """Weights, bias and penalty of a ridge probe on standardised columns.
 
     One pass over the training rows for all penalties; with `dev`, the penalty of least error there (all
@@ -148,42 +149,75 @@ def predict_scores(rows: DataFrame, vector: str, weights: Sequence[float], bias:
     return rows.withColumn(name, refused_if(wrong, "A vector has another length than the probe", projected(F.col(vector), weights, bias)))
 
 
-def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 20, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Rows with their cluster, and the centres; the first centres are the rows with the smallest digests.
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 300, seed: int = 42, starts: int = 10) -> tuple[DataFrame, np.ndarray, float]:
+    """Rows with their cluster, the centres and the inertia of the best of several starts.
 
-    A round is one pass: each row finds its centre among k constants, each task adds up its own rows,
-    and k sums come back. It ends when no centre moves. Empty clusters keep their centre.
+    The first centres of a start are the different vectors with the smallest digests (of the smallest key
+    that has the vector). A round is one pass for all starts: each row finds its centre among k constants,
+    each task adds up its own rows, and starts x k sums come back. A start ends when no centre moves; empty
+    clusters keep their centre. Ties of inertia go to the earlier start. More than `rounds` rounds stop the
+    job rather than give centres that still move.
     """
-    first = rows.filter(F.col(vector).isNotNull()).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(k)
-    centres = np.array([r[0] for r in first.select(F.col(vector).cast("array<double>")).collect()], float)
-    if len(centres) < k:
-        raise Refused("Fewer rows than clusters.")
+    kinds = rows.filter(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("_v")).agg(F.min(F.col(key).cast("string")).alias("_key"))
+    first = None
+    for s in range(starts):
+        one = kinds.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed + s)), "_key"), 256), "_key").limit(k).select(F.lit(s).alias("s"), F.lit(seed + s).alias("n"), "_key", "_v")
+        first = one if first is None else first.unionByName(one)
+    held = first.withColumn("h", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "_key"), 256)).orderBy("s", "h", "_key").collect()
+    if len(held) < starts * k:
+        raise Refused("Fewer different vectors than clusters.")
+    centres = np.array([r["_v"] for r in held], float).reshape(starts, k, -1)
+    moving = list(range(starts))
     for _ in range(rounds):
-        parts = _cluster_sums(rows, vector, centres).groupBy("cluster", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
+        parts = _cluster_sums(rows, vector, centres[moving]).groupBy("start", "cluster", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
         new = centres.copy()
-        new[parts["cluster"], parts["i"]] = parts["s"] / parts["n"]
-        if np.allclose(new, centres, rtol=0, atol=1e-12):
-            break
+        new[np.array(moving)[parts["start"]], parts["cluster"], parts["i"]] = parts["s"] / parts["n"]
+        moving = [s for s in moving if not np.allclose(new[s], centres[s], rtol=0, atol=1e-12)]
         centres = new
+        if not moving:
+            break
+    else:
+        raise Refused(f"Centres still move after {rounds} rounds.")
+    inertia = [r.d for r in _inertia(rows, vector, centres).groupBy("start").agg(F.sum("d").alias("d")).orderBy("start").collect()]
+    best = int(np.argmin(inertia))
+    return assigned(rows, vector, centres[best]), centres[best], inertia[best]
+
+
+def assigned(rows: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    """Rows with the number of the nearest centre (ties to the smaller number); NULL vectors have none."""
+    k, width = centres.shape
     parts = [F.lit(float(c)) for c in centres.ravel()]
-    width = centres.shape[1]
     far = [F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*parts[c * width:(c + 1) * width]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) for c in range(k)]
     near = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(c).alias("c")) for c, d in enumerate(far)]))
-    return rows.withColumn("cluster", F.when(F.col(vector).isNotNull(), near["c"])), centres
+    return rows.withColumn("cluster", F.when(F.col(vector).isNotNull(), near["c"]))
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        held = batch.column(0).drop_null()
+        if len(held):
+            yield held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), width)
 
 
 def _cluster_sums(rows: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros_like(centres), np.zeros(len(centres))
-        for batch in batches:
-            held = batch.column(0).drop_null()
-            if not len(held):
-                continue
-            x = held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), centres.shape[1])
-            near = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2).argmin(1)
-            np.add.at(sums, near, x)
-            counts += np.bincount(near, minlength=len(centres))
-        c, i = np.nonzero(np.repeat(counts[:, None] > 0, centres.shape[1], 1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(sums[c, i]), pa.array(counts[c])], ["cluster", "i", "s", "n"])
-
-    return rows.select(F.col(vector).cast("array<double>")).mapInArrow(work, "cluster int, i int, s double, n double")
+        sums, counts = np.zeros_like(centres), np.zeros(centres.shape[:2])
+        for x in _matrices(batches, centres.shape[2]):
+            for s, own in enumerate(centres):
+                near = ((x[:, None, :] - own[None, :, :]) ** 2).sum(2).argmin(1)
+                np.add.at(sums[s], near, x)
+                counts[s] += np.bincount(near, minlength=len(own))
+        s, c, i = np.nonzero(np.repeat(counts[:, :, None] > 0, centres.shape[2], 2))
+        yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in (s, c, i)], pa.array(sums[s, c, i]), pa.array(counts[s, c])], ["start", "cluster", "i", "s", "n"])
+
+    return rows.select(F.col(vector).cast("array<double>")).mapInArrow(work, "start int, cluster int, i int, s double, n double")
+
+
+def _inertia(rows: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres))
+        for x in _matrices(batches, centres.shape[2]):
+            total += [((x[:, None, :] - own[None, :, :]) ** 2).sum(2).min(1).sum() for own in centres]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres)), pa.int32()), pa.array(total)], ["start", "d"])
+
+    return rows.select(F.col(vector).cast("array<double>")).mapInArrow(work, "start int, d double")

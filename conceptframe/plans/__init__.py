@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation", "metrics", "analysis", "geometry")
+MODULES = ("measure", "preparation", "metrics", "analysis", "geometry", "change")
 
 
 def load_all():

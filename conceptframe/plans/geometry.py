@@ -35,22 +35,78 @@ def compare_networks(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(r9(F.col("edge_weight_spearman")).alias("edge_weight_spearman"), r9(F.col("top_k_edge_jaccard")).alias("top_k_edge_jaccard"), "common_edge_sign_agreement")
 
 
-@query("pca_scores")
+VECTORS = "v AS (SELECT vec_id::VARCHAR AS sample_id, label::INTEGER AS label, embedding::DOUBLE[] AS x FROM embeddings)"
+
+
+@query("pca_scores", f"""WITH c AS ({LONG}), m AS (SELECT i, avg(v) AS m FROM c GROUP BY i), d AS (SELECT vec_id, label, i, v - m AS d FROM c JOIN m USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.d * b.d) / (count(*) - 1) AS s FROM d a JOIN d b USING (vec_id) GROUP BY ALL),
+q AS (SELECT a.vec_id, sum(a.d * s * b.d) AS q FROM d a JOIN cov USING (i) JOIN d b ON b.vec_id = a.vec_id AND b.i = cov.j GROUP BY a.vec_id),
+e AS (SELECT vec_id, any_value(label)::INTEGER AS label, sum(d * d) AS e FROM d GROUP BY vec_id)
+SELECT vec_id::VARCHAR AS sample_id, label, round(e, 8) AS squared_length, round(q, 8) AS weighted_length, round((SELECT sum(s) FROM cov WHERE i = j), 8) AS total_variance FROM e JOIN q USING (vec_id)""")
 def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out, _, _ = geometry.pca(T.vectors(spark, sf), "vector", 3)
-    return out.select("sample_id", "label", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
+    """Scores on all axes, as what does not depend on signs: their squares, alone and weighted by the axes' variances.
+
+    The first is the centred length only if the axes are orthonormal, the second the covariance's form only if
+    they are its eigenvectors with these variances.
+    """
+    v = T.vectors(spark, sf)
+    width = v.select(F.max(F.size("vector"))).first()[0]
+    out, _, shares, total = geometry.pca(v, "vector", width)
+    square = F.transform("scores", lambda s: s * s)
+    return out.select("sample_id", "label", F.round(F.aggregate(square, F.lit(0.0), lambda a, b: a + b), 8).alias("squared_length"),
+                      F.round(geometry.projected(square, [s * total for s in shares]), 8).alias("weighted_length"), F.round(F.lit(total), 8).alias("total_variance"))
+
 
+SPLIT = "CASE WHEN h < 0.6::DOUBLE THEN 'train' WHEN h < 0.8::DOUBLE THEN 'dev' ELSE 'test' END"
+RIDGE_STEPS = 90
+#: The ridge system of each penalty solved by conjugate gradients on the standardised columns.
+RIDGE_SQL = f"""WITH RECURSIVE {VECTORS},
+r AS (SELECT *, {SPLIT} AS split FROM (SELECT *, ('0x' || substr(sha256(sample_id), 1, 4))::BIGINT / 65536.0::DOUBLE AS h FROM v)),
+c AS (SELECT sample_id, i, x[i] AS x, label FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM r WHERE split = 'train')),
+m AS (SELECT i, avg(x) AS m, stddev_samp(x) AS sd, avg(label) AS my FROM c GROUP BY i),
+z AS (SELECT sample_id, i, (x - m) / sd AS z, label - my AS y FROM c JOIN m USING (i)),
+g AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS s FROM z a JOIN z b USING (sample_id) GROUP BY ALL),
+k AS (SELECT list(row ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS row FROM g GROUP BY i)),
+t AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, sum(z * y) AS t FROM z GROUP BY i)),
+cg AS (SELECT 0 AS step, penalty, list_transform(t, lambda e: 0.0::DOUBLE) AS w, t AS res, t AS p, list_dot_product(t, t) AS rs
+    FROM t, (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in geometry.PENALTIES)}]) AS penalty)
+  UNION ALL SELECT step + 1, penalty, list_transform(w, lambda e, i: e + al * p[i]), rn, list_transform(rn, lambda e, i: e + list_dot_product(rn, rn) / rs * p[i]), list_dot_product(rn, rn)
+    FROM (SELECT *, list_transform(res, lambda e, i: e - al * ap[i]) AS rn FROM (SELECT *, rs / list_dot_product(p, ap) AS al FROM (
+      SELECT cg.*, list_transform(a, lambda row, i: list_dot_product(row, p) + penalty * p[i]) AS ap FROM cg, k WHERE step < {RIDGE_STEPS} AND rs > 1e-26::DOUBLE)))),
+f AS (SELECT penalty, arg_max(w, step) AS w FROM cg GROUP BY penalty),
+s AS (SELECT list(m ORDER BY i) AS m, list(sd ORDER BY i) AS sd, any_value(my) AS my FROM m),
+pred AS (SELECT sample_id, label, split, penalty, my + list_dot_product(w, list_transform(x, lambda e, i: (e - m[i]) / sd[i])) AS p FROM r, s, f WHERE split <> 'train'),
+best AS (SELECT penalty FROM pred WHERE split = 'dev' GROUP BY penalty ORDER BY avg((p - label) * (p - label)), penalty LIMIT 1)
+SELECT sample_id, label, penalty, round(p, 6) AS prediction FROM pred JOIN best USING (penalty) WHERE split = 'test'"""
 
-@query("linear_probe")
+
+@query("linear_probe", RIDGE_SQL)
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Ridge probe of the cluster number, its penalty chosen on other rows than those judged."""
     v = T.vectors(spark, sf).withColumn("_h", F.conv(F.substring(F.sha2("sample_id", 256), 1, 4), 16, 10).cast("int") / 65536)
     train, dev, test = v.filter("_h < 0.6"), v.filter("_h >= 0.6 and _h < 0.8"), v.filter("_h >= 0.8")
-    w, b, _ = geometry.fit_ridge(train, "vector", "label", dev=dev)
-    return geometry.predict_scores(test, "vector", w, b).select("sample_id", "label", F.round("prediction", 6).alias("prediction"))
+    w, b, penalty = geometry.fit_ridge(train, "vector", "label", dev=dev)
+    return geometry.predict_scores(test, "vector", w, b).select("sample_id", "label", F.lit(penalty).alias("penalty"), F.round("prediction", 6).alias("prediction"))
+
+
+KMEANS_ROUNDS, KMEANS_STARTS = 60, 10
+
+
+def _kmeans_sql(k: int) -> str:
+    """All rounds of all starts, one after the other; rounds after the last move change nothing."""
+    rounds = "".join(f""",
+a{r} AS MATERIALIZED (SELECT s, sample_id, x, arg_min(c, d) AS c FROM (SELECT s, sample_id, x, c, list_distance(x, m) AS d FROM v, c{r}) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT o.s, o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT s, c, list(m ORDER BY i) AS m FROM (
+  SELECT s, c, i, avg(e) AS m FROM (SELECT s, c, unnest(x) AS e, unnest(range(len(x))) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL) n USING (s, c))""" for r in range(KMEANS_ROUNDS))
+    return f"""WITH {VECTORS}, kinds AS (SELECT x, min(sample_id) AS key FROM v GROUP BY x),
+c0 AS MATERIALIZED (SELECT s, row_number() OVER (PARTITION BY s ORDER BY sha256((42 + s) || '|' || key), key) - 1 AS c, x AS m FROM kinds, range({KMEANS_STARTS}) AS t(s)
+  QUALIFY c < {k}){rounds},
+last AS (SELECT s, sample_id, label, arg_min(c, d) AS c, min(d) * min(d) AS d FROM (SELECT s, sample_id, label, c, list_distance(x, m) AS d FROM v, c{KMEANS_ROUNDS}) GROUP BY ALL),
+best AS (SELECT s, sum(d) AS inertia FROM last GROUP BY s ORDER BY inertia, s LIMIT 1)
+SELECT sample_id, label, c::INTEGER AS cluster, round(inertia, 6) AS inertia FROM last JOIN best USING (s)"""
 
 
-@query("kmeans")
+@query("kmeans", _kmeans_sql(10))
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = geometry.kmeans(T.vectors(spark, sf), "sample_id", "vector", 10)
-    return out.select("sample_id", "label", "cluster")
+    out, _, inertia = geometry.kmeans(T.vectors(spark, sf), "sample_id", "vector", 10, starts=KMEANS_STARTS)
+    return out.select("sample_id", "label", "cluster", F.round(F.lit(inertia), 6).alias("inertia"))

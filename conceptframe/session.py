@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,20 @@ def build_session(master: str | None = None, app: str = "conceptframe", **conf:
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; there is no substitute for it."""
+    """`spark.checkpoint.dir`; only a local session without that setting gets a temporary folder."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"Set {CHECKPOINT_KEY} to a folder that the driver and all executors share.")
-    return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
+    return _LOCAL[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

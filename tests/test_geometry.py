@@ -27,7 +27,7 @@ def test_network_is_the_correlation_matrix(spark):
 
 def test_axes(spark):
     x = data()
-    out, axes, shares = geometry.pca(table(spark, x), "v", 2)
+    out, axes, shares, total = geometry.pca(table(spark, x), "v", 2)
     c = x - x.mean(0)
     _, s, vt = np.linalg.svd(c, full_matrices=False)
     assert np.allclose(shares, s[:2] ** 2 / (s ** 2).sum())
@@ -68,10 +68,10 @@ def test_clusters(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=(30, 2)) + c for c in ((0, 0), (9, 9), (-9, 9))])
     df = table(spark, x)
-    out, centres = geometry.kmeans(df, "id", "v", 3)
+    out, centres, inertia = geometry.kmeans(df, "id", "v", 3)
     got = np.array([r.cluster for r in out.orderBy("id").collect()])
     assert (got == ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)).all()
     for c in range(3):
         assert np.allclose(centres[c], x[got == c].mean(0))
-    again, _ = geometry.kmeans(df.repartition(7), "id", "v", 3)
+    again, _, same = geometry.kmeans(df.repartition(7), "id", "v", 3)
     assert (np.array([r.cluster for r in again.orderBy("id").collect()]) == got).all()
