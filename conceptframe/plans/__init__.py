@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation", "metrics", "analysis", "geometry", "change")
+MODULES = ("measure", "preparation", "metrics", "analysis", "geometry", "change", "choice")
 
 
 def load_all():
