@@ -10,7 +10,8 @@ for), cannot match a window and are left out of the array before it is sorted.
 The test items travel to the tasks as one broadcast of at most `BLOCK_BYTES`; a larger benchmark goes
 in several such blocks, whose findings are added up for each document.
 
-Nulls: a null text, in documents or items, has no words, and no item id is null in the result. Null
+Nulls: a null text, in documents or items, has no words. An item without id hits like any other, but
+names nothing: it is not among a document's items. Null
 document ids: rows stand by themselves; repeated ids: one row out for each row in. Items of fewer
 words than a window are one window of all their words; items without words occur nowhere. Empty
 tables: no documents, no rows; no items, nothing is hit. Other columns are not read.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,11 +145,11 @@ def _slots(x: np.ndarray) -> np.ndarray:
     return ((x * U64(0xD6E8FEB86659FD93)) >> U64(41)).astype(np.int64)
 
 
-def test_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple[str, str]]]:
+def test_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of at most `most` bytes of text (one item alone may be longer)."""
     held, size = [], 0
     rows = benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).cast("string").alias("t"))
-    for row in rows.filter("i is not null and t is not null").toLocalIterator():
+    for row in rows.filter("t is not null").toLocalIterator():
         if held and size + len(row.t.encode()) > most:
             yield held
             held, size = [], 0
@@ -168,7 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
     carried = [c for c in rows.columns if c not in ("_id", "_text")]
     base = [(f.name, f.dataType) for f in rows.schema if f.name != "_text" or text_column in keep]
-    held = list(test_blocks(benchmark, item_column, item_text, most))
+    held = test_blocks(benchmark, item_column, item_text, most)
+    first, second = next(held), next(held, None)
 
     def search(block: list[tuple[str, str]], frame: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
@@ -183,15 +186,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         schema = ", ".join(f"`{n}` {types[n]}" for n in ["_id", *carried])
         return frame.mapInArrow(work, schema + ", n_words bigint, hits array<struct<start:int,length:int>>, items array<string>, longest int")
 
-    if len(held) == 1:
-        found = search(held[0], rows)
+    if second is None:
+        found = search(first, rows)
     else:  # several blocks: the findings of each row are added up under a number of its own
         numbered = kept(rows.withColumn("_keep__row", F.monotonically_increasing_id()), "numbered")
         carried = [c for c in numbered.columns if c not in ("_id", "_text")]
-        parts = [search(block, numbered) for block in held]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
+        union = None
+        for block in chain([first, second], held):  # the driver holds two of them at most
+            part = kept(search(block, numbered), "found")
+            union = part if union is None else union.unionByName(part)
         found = union.groupBy("_keep__row").agg(
             *[F.first(c).alias(c) for c in ["_id", *carried] if c != "_keep__row"], F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
@@ -200,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     covered = F.aggregate(F.array_sort("hits"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")), lambda s, h: F.struct(
         (s["n"] + F.greatest(F.lit(0), h["start"] + h["length"] - F.greatest(s["end"], h["start"].cast("bigint")))).alias("n"),
         F.greatest(s["end"], (h["start"] + h["length"]).cast("bigint")).alias("end")))["n"]
-    items = F.array_sort(F.array_distinct("items"))  # an id may have several rows, in one block or in several
+    items = F.array_sort(F.array_distinct(F.array_compact("items")))  # an id may have several rows, in one block or in several
     return found.select(
         F.col("_id").alias("doc_id"), *[F.col(f"_keep_{k}").alias(k) for k in keep if k not in (id_column,)],
         "n_words", covered.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), items.alias("items"),

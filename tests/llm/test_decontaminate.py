@@ -17,8 +17,8 @@ def brute(rows, items, size=13):
     windows = {}
     for i, t in items:
         w = words(t)
-        for k in range(max(1, len(w) - size + 1) if w and i is not None else 0):
-            windows.setdefault(tuple(w[k:k + size]), set()).add(str(i))
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            windows.setdefault(tuple(w[k:k + size]), set()).update([] if i is None else [str(i)])
     out = []
     for doc, t in rows:
         w = words(t)
@@ -80,3 +80,10 @@ def test_a_repeated_item_row_counts_once_in_one_block_and_in_several(spark, tabl
     for options in ({}, {"most": 5}):
         one = decontaminate.contamination(table([(1, "x one two three y")]), bench, **options).first()
         assert (one.n_items, one["items"], one.n_hit) == (2, ["7", "8"], 3)
+
+
+def test_items_without_id_hit_and_name_nothing(spark, table):
+    items = spark.createDataFrame([(None, "one two three"), (5, "nine ten")], "item_id bigint, text string")
+    rows = [(1, "x one two three y"), (2, "nine ten one two three"), (3, "one two")]
+    for most in (1 << 20, 10):
+        assert found(table(rows), items, most=most) == [("1", 5, 3, "", True), ("2", 5, 5, "5", True), ("3", 2, 0, "", False)]
