@@ -56,10 +56,11 @@ LONG, STRETCHES = 10, (6, 9)  # bytes of a long word and of its stretches
 PAIR_MOST = 11  # bytes of two words written together
 RIDGE, PENALTY = 1e-3, 10.0
 PIECE, AT_ONCE = 4096, 200_000  # bytes of a piece of a very long word, and of the pieces judged at a time
+SCREEN = 0.02  # share of learned disguises that the look at the closest triples may cost
 CLEAN_WEIGHT = 2.0  # of a clean document in the last fit: it costs more to lose one
 FAINT = 0.5  # a decision up to here says nothing alone
 STEADY = 80  # words that a text counts as having besides its own, in shares
-LEVELS = (-0.5, 0.0, 0.5)  # decision values that words are counted at
+LEVELS = (0.0, 0.25, 0.5)  # decision values that words are counted at
 WEAKEST = -2.0  # of a text without spans
 FIXED = 1e8  # decisions are kept as whole numbers of this share
 
@@ -68,6 +69,7 @@ _SYMBOL[:] = 36 + np.arange(256) % 26
 _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[48:58] = 26 + np.arange(10)
 PATTERNS = [(a, b) for b in range(2, REACH) for a in range(1, b)] + [(a, b, c) for c in range(3, REACH) for b in range(2, c) for a in range(1, b)]
+NEAR = ((1, 2), (1, 3), (2, 3))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _DROP = np.zeros(256, bool)
@@ -145,10 +147,33 @@ def kernel(units: list[bytes], landmarks: list[bytes], edge: bool = True) -> np.
 
 @dataclass
 class Machine:
-    """Weights of subsequences (the folded landmarks) and bias."""
+    """Weights of subsequences (the folded landmarks) and bias; what stays below `screen` in `near` is not looked at further."""
 
     table: np.ndarray
     bias: float
+    screen: float = -np.inf
+
+
+def near(machines: list[Machine], units: list[bytes]) -> np.ndarray:
+    """Decisions from the closest triples alone, of each span or its best stretch: machines x spans."""
+    symbols, bounds = symbols_of(units)
+    unit = np.repeat(np.arange(len(units)), np.diff(bounds))
+    sums = np.zeros((len(machines), len(symbols) + 1))
+    for a, b in NEAR:
+        first = np.flatnonzero(unit[:-b] == unit[b:]) if len(unit) > b else np.zeros(0, np.int64)
+        code = (symbols[first] * SYMBOLS + symbols[first + a]) * SYMBOLS + symbols[first + b]
+        for own, m in zip(sums, machines):
+            own[first + 1] += DECAY ** (b + 1) * m.table[code]
+    sums = np.cumsum(sums, axis=1)
+    out = (sums[:, bounds[1:]] - sums[:, bounds[:-1]]) / scale(bounds)
+    long = np.flatnonzero(np.diff(bounds) - 2 >= LONG)
+    for n in STRETCHES if len(long) else ():
+        count = np.diff(bounds)[long] - 2 - n + 1
+        start = ranges(bounds[long] + 1, count)
+        heads = np.concatenate([[0], np.cumsum(count)[:-1]])
+        best = np.maximum.reduceat(sums[:, start + n - 2] - sums[:, start], heads, axis=1) / scale(np.array([0, n]))
+        out[:, long] = np.maximum(out[:, long], best)
+    return out + np.array([m.bias for m in machines])[:, None]
 
 
 def linear(machines: list[Machine], units: list[bytes], edge: bool = True) -> np.ndarray:
@@ -177,7 +202,12 @@ def decide(machines: list[Machine], units: list[bytes]) -> np.ndarray:
         low, high = np.searchsorted(sizes, [batch, batch + 1])
         if low == high:
             continue
-        some = pieces[low:high]
+        some, of = pieces[low:high], np.array(owner[low:high])
+        if any(np.isfinite(m.screen) for m in machines):
+            able = np.flatnonzero((near(machines, some) >= np.array([m.screen for m in machines])[:, None]).any(0))
+            some, of = [some[i] for i in able.tolist()], of[able]
+            if not some:
+                continue
         own = linear(machines, some)
         parts = [stretches(u) for u in some]
         count = np.array([len(p) for p in parts])
@@ -186,7 +216,7 @@ def decide(machines: list[Machine], units: list[bytes]) -> np.ndarray:
             for row, values in zip(own, inner):
                 np.maximum.at(row, np.repeat(np.arange(len(some)), count), values)
         for row, values in zip(out, own):
-            np.maximum.at(row, np.array(owner[low:high]), values)
+            np.maximum.at(row, of, values)
     return np.clip(out, WEAKEST, -WEAKEST)
 
 
@@ -443,9 +473,17 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     for _ in range(FITS):
         hard = hardest(decided(alone))
         alone = machine(units, firm, in_toxic[firm].astype(float) + 1, firm[np.argsort(-in_toxic[firm], kind="stable")][:LANDMARKS // 2].tolist(), hard, plain, known, True, in_clean)
-    one, many = decide([alone], units)[0], value.copy()
-    rest = np.setdiff1d(np.unique(np.concatenate([np.zeros(0, np.int64), *bags.words])), looked)
-    many[rest] = decide([often], [units[i] for i in rest.tolist()])[0] if len(rest) else 0
+    # from here on spans that are far from all that was learned are passed over
+    disguises = [m for i in firm.tolist() for m in [units[i], *disguised(units[i]), *inside(units[i], b"theraninonenstatore")]]
+    alone.screen = float(np.quantile(near([alone], disguises), SCREEN))
+    often = Machine(often.table, often.bias)
+    known_often = looked[value[looked] > LEVELS[0]]
+    often.screen = float(np.quantile(near([often], [units[i] for i in known_often.tolist()]), SCREEN)) if len(known_often) else np.inf
+    one = decide([alone], units)[0]
+    words = np.unique(np.concatenate([np.zeros(0, np.int64), *bags.words]))
+    many = np.full(len(units), WEAKEST)
+    both = decide([alone, often], [units[i] for i in words.tolist()])
+    one[words], many[words] = both
     seen = bags.features(one, many)
     # toxic documents with such a span a second time, the span in disguise and none other there
     mask = {i: float(np.quantile(decide([alone], d), 0.1)) for i in firm.tolist() if (d := disguised(units[i]))}
