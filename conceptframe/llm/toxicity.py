@@ -56,8 +56,8 @@ LONG, STRETCHES = 10, (6, 9)  # bytes of a long word and of its stretches
 PAIR_MOST = 11  # bytes of two words written together
 RIDGE, PENALTY = 1e-3, 10.0
 PIECE, AT_ONCE = 4096, 200_000  # bytes of a piece of a very long word, and of the pieces judged at a time
-SCREEN = 0.02  # share of learned disguises that the look at the closest triples may cost
-CLEAN_WEIGHT = 2.0  # of a clean document in the last fit: it costs more to lose one
+SCREEN = 0.01  # share of learned disguises that the look at the closest triples may cost
+CLEAN_WEIGHT = 3.0  # of a clean document in the last fit: it costs more to lose one
 FAINT = 0.5  # a decision up to here says nothing alone
 STEADY = 80  # words that a text counts as having besides its own, in shares
 LEVELS = (0.0, 0.25, 0.5)  # decision values that words are counted at
@@ -493,7 +493,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     again[:, 2:] = 0
     x = np.vstack([seen, again])
     y = np.concatenate([toxic.astype(float), np.ones(len(again))])
-    weight = np.concatenate([np.where(toxic, 1.0, CLEAN_WEIGHT), np.full(len(again), 0.5)])
+    weight = np.concatenate([np.where(toxic, 1.0, CLEAN_WEIGHT), np.ones(len(again))])
     return Model(alone, often, logistic(x, y, weight))
 
 
