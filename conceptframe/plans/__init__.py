@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "preparation", "metrics", "analysis", "geometry", "change", "choice")
+MODULES = ("measure", "preparation", "metrics", "analysis", "geometry", "change", "choice", "validity")
 
 
 def load_all():
