@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptframe.functions.numeric import r9
-from conceptframe.operators import geometry
+from conceptframe.operators import geometry, probes
 from conceptframe.plans.registry import query
 from conceptframe.sources import tables as T
 
@@ -110,3 +110,53 @@ SELECT sample_id, label, c::INTEGER AS cluster, round(inertia, 6) AS inertia FRO
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
     out, _, inertia = geometry.kmeans(T.vectors(spark, sf), "sample_id", "vector", 10, starts=KMEANS_STARTS)
     return out.select("sample_id", "label", "cluster", F.round(F.lit(inertia), 6).alias("inertia"))
+
+
+LABELS, TERMS, NEWTON = {"r": "R", "a": "A"}, ("l_quantity", "l_discount", "l_tax"), 8
+
+
+def _solved(source: str) -> str:
+    """The 4 x 4 system a w = b of each row, by elimination: columns w0 .. w3."""
+    n = len(TERMS) + 1
+    for k in range(n):
+        rows = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" if i != k else f"a{i}{j} / a{k}{k} AS a{i}{j}" for i in range(n) for j in range(n)]
+        rows += [f"b{i} - a{i}{k} / a{k}{k} * b{k} AS b{i}" if i != k else f"b{i} / a{k}{k} AS b{i}" for i in range(n)]
+        source = f"(SELECT name, c, {', '.join(rows)} FROM {source})"
+    return source
+
+
+def _logistic_sql() -> str:
+    n = len(TERMS) + 1
+    z = [*(f"z{i}" for i in range(n - 1)), "1"]
+    w0 = ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(n))
+    steps = ""
+    for s in range(NEWTON):
+        p = "1 / (1 + exp(-(" + " + ".join(f"w{i} * {z[i]}" for i in range(n)) + ")))"
+        hold = lambda i: "1" if i < n - 1 else "0"
+        sums = [f"c * sum(q * {z[i]} * {z[j]})" + (f" + {hold(i)}" if i == j else "") + f" AS a{i}{j}" for i in range(n) for j in range(n)]
+        sums += [f"c * sum((p - y) * {z[i]}) + {hold(i)} * any_value(w{i}) AS b{i}" for i in range(n)]
+        each = f"(SELECT *, p * (1 - p) AS q FROM (SELECT z.*, w.*, (CASE name WHEN 'r' THEN r ELSE a END)::DOUBLE AS y, {p} AS p FROM z, w{s} w WHERE split = 'train'))"
+        steps += f""",
+w{s + 1} AS MATERIALIZED (SELECT name, c, {', '.join(f'w.w{i} - s.b{i} AS w{i}' for i in range(n))} FROM w{s} w JOIN {_solved(f'(SELECT name, c, {", ".join(sums)} FROM {each} GROUP BY name, c)')} s USING (name, c))"""
+    final = "1 / (1 + exp(-(" + " + ".join(f"w{i} * {z[i]}" for i in range(n)) + ")))"
+    return f"""WITH l AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, {', '.join(TERMS)}, (l_returnflag = 'R')::INT AS r, (l_returnflag = 'A')::INT AS a,
+  ('0x' || substr(sha256(l_orderkey::VARCHAR), 1, 4))::BIGINT / 65536.0::DOUBLE AS h FROM lineitem),
+s AS (SELECT {', '.join(f'avg({t}) AS m{i}, stddev_pop({t}) AS s{i}' for i, t in enumerate(TERMS))} FROM l WHERE h < 0.6::DOUBLE),
+z AS MATERIALIZED (SELECT id, l_orderkey, l_linenumber, r, a, {SPLIT} AS split, {', '.join(f'({t} - m{i}) / s{i} AS z{i}' for i, t in enumerate(TERMS))} FROM l, s),
+w0 AS (SELECT name, c, {w0} FROM (SELECT unnest(['r', 'a']) AS name), (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in probes.GRID)}]) AS c)){steps},
+p AS (SELECT id, l_orderkey, l_linenumber, split, name, c, (CASE name WHEN 'r' THEN r ELSE a END) AS y, {final} AS p FROM z, w{NEWTON} WHERE split <> 'train'),
+run AS (SELECT name, c, y, sum(y) OVER w AS cy, count(*) OVER w AS cn FROM p WHERE split = 'dev' WINDOW w AS (PARTITION BY name, c ORDER BY p DESC RANGE UNBOUNDED PRECEDING)),
+ap AS (SELECT c, avg(ap) AS ap FROM (SELECT name, c, sum(CASE WHEN y = 1 THEN cy / cn END) / sum(y) AS ap FROM run GROUP BY name, c) GROUP BY c),
+best AS (SELECT c FROM ap ORDER BY round(ap, 12) DESC, c LIMIT 1)
+SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, any_value(c) AS penalty, round(max(CASE WHEN name = 'r' THEN p END), 7) AS p_r,
+  round(max(CASE WHEN name = 'a' THEN p END), 7) AS p_a FROM p JOIN best USING (c) WHERE split = 'test' GROUP BY id"""
+
+
+@query("logistic_probe", _logistic_sql())
+def logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes of two return flags from three numbers of a line; the penalty is chosen on other rows than those judged."""
+    rows = T.load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[F.col(t).cast("double") for t in TERMS]).alias("x"), *[(F.col("l_returnflag") == f).cast("int").alias(n) for n, f in LABELS.items()])
+    rows = rows.withColumn("_h", F.conv(F.substring(F.sha2(F.col("l_orderkey").cast("string"), 256), 1, 4), 16, 10).cast("int") / 65536)
+    probe = probes.fit_logistic(rows.filter("_h < 0.6"), "x", list(LABELS), dev=rows.filter("_h >= 0.6 and _h < 0.8"))
+    out = probe.predict(rows.filter("_h >= 0.8"), "x")
+    return out.select("l_orderkey", "l_linenumber", F.lit(probe.penalty).alias("penalty"), F.round("p_r", 7).alias("p_r"), F.round("p_a", 7).alias("p_a"))
