@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptframe.llm.buffers import LOWER, SPACES, U64, blocks, mix, range_hashes, ranges, row_numbers, spans
+from conceptframe.llm.idfilter import possible, without
 from conceptframe.llm.links import components
 from conceptframe.llm.shared import documents, kept, spread
 
@@ -413,8 +414,11 @@ def _within_bound(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.
 
 def opened(docs: DataFrame, groups: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, as stars, from all groups that had to be opened."""
-    asked = met.join(groups.select("sid", "sig", "rep", "gid"), "sid")
-    texts = asked.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("rep").eqNullSafe(F.col("_id"))).select("lo", "hi", "sid", "gid", "sig", "text")
+    asked = kept(met.join(groups.select("sid", "sig", "rep", "gid"), "sid"), "asked")
+    held = docs.select(F.col("doc_id").alias("_id"), "text")
+    can = possible(kept(asked.select("rep").distinct(), "asked_ids"), "rep")
+    held = held if can is None else held.filter(can(F.col("_id")))
+    texts = asked.join(held, F.col("rep").eqNullSafe(F.col("_id"))).select("lo", "hi", "sid", "gid", "sig", "text")
     parts = spread(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,11 +484,11 @@ def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERC
     texts all stay. Rows of a repeated id are told apart by their texts."""
     columns = docs.columns
     found = kept(_joined(_narrow(docs, "doc_id", "text"), words, percent).select("doc_id", "sig", "component", "root"), "joined")
-    gone = found.filter("component != doc_id").select("doc_id").distinct()
+    gone = kept(found.filter("component != doc_id").select("doc_id").distinct(), "gone")
     repeated = kept(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*columns)
-    single = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti").select(*columns)
+        return without(docs, "doc_id", gone)
+    single = without(docs, "doc_id", kept(gone.union(repeated).distinct(), "gone"))
     # rows of repeated ids get a number of their own, and by it the set of their text and its component
     names = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     own = docs.join(repeated, "doc_id", "left_semi").select(*names, F.monotonically_increasing_id().alias("_row"))
