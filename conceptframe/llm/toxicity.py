@@ -55,7 +55,7 @@ EDGE = SYMBOLS - 1
 LONG, STRETCHES = 10, (6, 9)  # bytes of a long word and of its stretches
 PAIR_MOST = 11  # bytes of two words written together
 RIDGE, PENALTY = 1e-3, 10.0
-PIECE, AT_ONCE = 4096, 200_000  # bytes of a piece of a very long word, and of the pieces judged at a time
+PIECE, AT_ONCE = 4096, 40_000  # bytes of a piece of a very long word, and of the pieces judged at a time
 SCREEN = 0.01  # share of learned disguises that the look at the closest triples may cost
 CLEAN_WEIGHT = 3.0  # of a clean document in the last fit: it costs more to lose one
 FAINT = 0.5  # a decision up to here says nothing alone
@@ -288,14 +288,19 @@ def features(rows: int, word_row: np.ndarray, alone: np.ndarray, often: np.ndarr
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on its active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x @ w) < 1
-        a = x[active] * weight[active, None]
-        new = np.linalg.solve(ridge + PENALTY * (x[active].T @ a), PENALTY * (a.T @ y[active]))
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        square, right = np.zeros_like(ridge), np.zeros_like(w)
+        for start in range(0, len(active), 2000):  # a part at a time, for the driver's memory
+            rows = active[start:start + 2000]
+            part = np.hstack([x[rows], np.ones((len(rows), 1))])
+            a = part * weight[rows, None]
+            square += part.T @ a
+            right += a.T @ y[rows]
+        new = np.linalg.solve(ridge + PENALTY * square, PENALTY * right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -343,16 +348,19 @@ class Bags:
         for text in texts:
             letters, bounds, _, head = cut(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             raw, at = letters.tobytes(), bounds.tolist()
-            self.words.append(np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(at[:-1], at[1:])), np.int64, len(at) - 1))
+            self.words.append(np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(at[:-1], at[1:])), np.int32, len(at) - 1))
             first, last = joined(bounds, head)
-            self.more.append(np.unique(np.fromiter((number.setdefault(raw[at[a]:at[b]], len(number)) for a, b in zip(first.tolist(), last.tolist())), np.int64, len(first))))
+            self.more.append(np.unique(np.fromiter((number.setdefault(raw[at[a]:at[b]], len(number)) for a, b in zip(first.tolist(), last.tolist())), np.int32, len(first))))
         self.units = list(number)
 
     def features(self, alone: np.ndarray, often: np.ndarray) -> np.ndarray:
-        row = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
-        more_row = np.repeat(np.arange(len(self.more)), [len(m) for m in self.more])
-        words, more = (np.concatenate([np.zeros(0, np.int64), *parts]) for parts in (self.words, self.more))
-        return features(len(self.words), row, alone[words], often[words], more_row, alone[more])
+        out = [np.zeros((0, len(LEVELS) + 2))]
+        for start in range(0, len(self.words), 200):  # a part at a time, for the driver's memory
+            rows = [self.words[start:start + 200], self.more[start:start + 200]]
+            word_row, more_row = (np.repeat(np.arange(len(r)), [len(own) for own in r]) for r in rows)
+            words, more = (np.concatenate(r) for r in rows)
+            out.append(features(len(rows[0]), word_row, alone[words], often[words], more_row, alone[more]))
+        return np.vstack(out)
 
 
 def folded_table(landmarks: list[bytes], beta: np.ndarray) -> np.ndarray:
@@ -386,7 +394,7 @@ def machine(units: list[bytes], found: np.ndarray, counts: np.ndarray, masked: l
     sets = [(text(found), True, 1), (masks, True, 1), (within if deep else [], False, 1), (text(hard), True, -1), (text(plain), True, -1), (parts if deep else [], False, -1)]
     sets = [(*s, share) for s, share in zip(sets, shares)]
     total = sum(len(u) for u, *_ in sets)
-    x = np.vstack([kernel(u, landmarks, edge) for u, edge, _, _ in sets if u]) @ root
+    x = np.vstack([kernel(u, landmarks, edge) @ root for u, edge, _, _ in sets if u])
     y = np.concatenate([np.full(len(u), float(sign)) for u, _, sign, _ in sets])
     parts_of = [counts / counts.sum(), *[np.full(len(u), 1 / max(len(u), 1)) for u, *_ in sets[1:]]]
     for n, rows in ((3, hard), (4, plain)):  # a clean span counts with the documents that have it
@@ -399,13 +407,12 @@ def machine(units: list[bytes], found: np.ndarray, counts: np.ndarray, masked: l
 def rare_in_clean(units: list[bytes], kinds: list[np.ndarray], toxic: np.ndarray, firm: np.ndarray) -> np.ndarray:
     """Which spans are like words of clean documents much more seldom than like words of toxic ones, and mostly themselves."""
     words = np.unique(np.concatenate(kinds))
-    like = np.zeros((len(units), len(firm)), bool)
-    for start in range(0, len(words), 20_000):
-        part = words[start:start + 20_000]
-        like[part] = kernel([units[i] for i in part.tolist()], [units[i] for i in firm.tolist()]) >= ALIKE
+    like = np.zeros((len(words), len(firm)), bool)
+    marks = [units[i] for i in firm.tolist()]
+    for start in range(0, len(words), 10_000):
+        like[start:start + 10_000] = kernel([units[i] for i in words[start:start + 10_000].tolist()], marks) >= ALIKE
     some = [n for n, k in enumerate(kinds) if len(k)]
-    heads = np.concatenate([[0], np.cumsum([len(kinds[n]) for n in some])[:-1]])
-    has = np.logical_or.reduceat(like[np.concatenate([kinds[n] for n in some])], heads, axis=0)
+    has = np.array([like[np.searchsorted(words, kinds[n])].any(0) for n in some])
     bad = toxic[some].astype(bool)
     own = np.array([np.mean([i in k for k in sets]) for sets in [[set(kinds[n].tolist()) for n, t in zip(some, bad) if t]] for i in firm.tolist()])
     near, far = has[bad].mean(0), has[~bad].mean(0)
@@ -480,7 +487,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     known_often = looked[value[looked] > LEVELS[0]]
     often.screen = float(np.quantile(near([often], [units[i] for i in known_often.tolist()]), SCREEN)) if len(known_often) else np.inf
     one = decide([alone], units)[0]
-    words = np.unique(np.concatenate([np.zeros(0, np.int64), *bags.words]))
+    words = np.unique(np.concatenate([np.zeros(0, np.int32), *bags.words]))
     many = np.full(len(units), WEAKEST)
     both = decide([alone, often], [units[i] for i in words.tolist()])
     one[words], many[words] = both
