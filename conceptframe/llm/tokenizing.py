@@ -33,49 +33,26 @@ def encoded(name: str, texts: list[str]):
             yield one.ids
 
 
-class PieceCounts:
-    """Token counts of rows under a byte-level tokenizer.
+@lru_cache(maxsize=4)
+def special_strings(name: str) -> list[bytes]:
+    return [t.content.encode() for t in tokenizer(name).get_added_tokens_decoder().values() if t.content]
 
-    A row is cut where no pre-token can cross: before the last white space of a run, which a word
-    takes along if it is a blank. Each distinct piece is counted once. Rows with white space beyond
-    ASCII, or with a special string of the tokenizer, go through the library whole, since there the
-    cut isn't safe.
-    """
 
-    def __init__(self, name: str):
-        self.name = name
-        self.pieces = Vocabulary(self.count)
-        special = [t.content.encode() for t in tokenizer(name).get_added_tokens_decoder().values()]
-        self.special = [s for s in special if s]
-
-    def count(self, pieces: list[bytes]) -> np.ndarray:
-        return np.fromiter((len(ids) for ids in encoded(self.name, [p.decode() for p in pieces])), np.int64, len(pieces))
-
-    def odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        raw, odd = data.tobytes(), set()
-        for mark in (*_WIDE_SPACES, *self.special):
-            at = raw.find(mark)
-            while at >= 0:
-                row = int(np.searchsorted(offsets, at, "right")) - 1
-                odd.add(row)
-                at = raw.find(mark, int(offsets[row + 1]))  # one find is enough for a row
-        return np.array(sorted(odd), np.int64)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows = len(offsets) - 1
-        starts = piece_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        counts = self.pieces(data, starts, ends, range_hashes(data, starts, ends))
-        firsts = np.searchsorted(starts, offsets)
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        total = sums[firsts[1:]] - sums[firsts[:-1]]
-        odd = self.odd_rows(data, offsets)
-        if len(odd):
-            raw = data.tobytes()
-            whole = [raw[offsets[r]:offsets[r + 1]].decode() for r in odd.tolist()]
-            total[odd] = [len(ids) for ids in encoded(self.name, whole)]
-        assert len(total) == rows
-        return total
+def odd_rows(name: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows with white space beyond ASCII or a special string: there the cut into pieces isn't safe."""
+    raw, odd = data.tobytes(), set()
+    for mark in (*_WIDE_SPACES, *special_strings(name)):
+        at = raw.find(mark)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            odd.add(row)
+            at = raw.find(mark, int(offsets[row + 1]))  # one find is enough for a row
+    return np.array(sorted(odd), np.int64)
+
+
+def counted(name: str, texts: list[str]) -> np.ndarray:
+    """Number of tokens of each text."""
+    return np.fromiter((len(ids) for ids in encoded(name, texts)), np.int64, len(texts))
 
 
 #: White space that isn't one of the six ASCII characters, in UTF-8; 1C-1F count for some libraries.
@@ -84,7 +61,11 @@ _WIDE_SPACES = [chr(c).encode() for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces that tile each row."""
+    """Starts of the pieces that tile each row, for a byte-level tokenizer.
+
+    A row is cut where no pre-token can cross: before the last white space of a run, which a word
+    takes along if it is a blank.
+    """
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     words, word_ends, _ = spans(data, offsets, SPACES)
@@ -155,12 +136,6 @@ class WordIds:
         return ids, per_row
 
 
-@lru_cache(maxsize=2)
-def piece_counts(name: str) -> PieceCounts:
-    """One table of counted pieces for each worker process."""
-    return PieceCounts(name)
-
-
 @lru_cache(maxsize=2)
 def word_ids(name: str) -> WordIds:
     """One table of encoded words for each worker process."""

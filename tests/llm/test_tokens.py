@@ -22,6 +22,20 @@ def test_counts_are_the_library_s(table):
     assert got == sorted(want, key=str)
 
 
+def test_groups_share_counts_of_distinct_pieces(table):
+    rows = [(i, " ".join(["alpha beta"] * (i % 7) + [f"w{i % 50}"])) for i in range(400)] + [(900, "rep " * 70_000), (901, None), (902, "a" * 100_000)]
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(rows).select("doc_id", "text")
+    got = sorted(map(tuple, tokencounts.token_counts(docs, group_bytes=1, group_pairs=1).collect()))
+    want = sorted((i, len((t or "").encode()), n, n > 512) for i, t in rows for n in [len(own.encode(t or "", add_special_tokens=False).ids)])
+    assert got == want
+    held = tokencounts.gathered(docs, "byte_bpe_50k.json", 500, 20).cache()
+    assert held.filter("ids is not null").count() >= 3
+    texts = {r.piece.decode() for r in held.filter("piece is not null").collect()}
+    counts = tokencounts.piece_counts(held, "byte_bpe_50k.json").collect()
+    assert len(counts) == len(texts)  # each distinct piece once, however many groups have it
+
+
 def test_no_rows(table):
     assert tokencounts.token_counts(table([])).count() == 0
     assert tokenfiles.token_files(table([])).count() == 0
