@@ -1,16 +1,17 @@
 """Token counts of whole texts without their ids.
 
 Each text is cut into pieces that no pre-token crosses. A task gathers whole documents into groups and
-keeps, for each document, which distinct pieces it has and how often; a group asks for each of its
-distinct pieces once. The distinct pieces of the corpus are counted once each by the public tokenizer
-and joined to what the groups ask for; a document's count is the sum of frequency times count. What is
-shuffled is one row for each distinct piece of a group and the packed frequencies, never one row for
-each pre-token, and no list of ids is kept. A piece of all documents is asked for once a group only.
-
-Pieces are told apart by a 64-bit hash and their length. Documents with white space beyond ASCII or a
-special string of the tokenizer, where the cut isn't safe, are counted whole in the task that reads
-them. A group ends at `GROUP_BYTES` of text or `GROUP_PAIRS` frequencies; one document that is longer is
-a group of its own.
+keeps, for each document, which distinct pieces it has and how often. The distinct pieces of a group
+travel to buckets of their hashes; there each distinct piece of the corpus is counted once by the
+public tokenizer, and the counts travel back to the groups, where a document's count is the sum of
+frequency times count. Pieces go sorted and compressed, frequencies as compressed bytes; a piece of
+all documents travels once a group, and no list of ids is kept.
+
+A bucket's table of counts is emptied at a fixed size (`Vocabulary`); what comes again after that is
+counted again, so give more shuffle partitions rather than more memory. Documents with white space
+beyond ASCII or a special string of the tokenizer, where the cut isn't safe, are counted whole in the
+task that reads them. A group ends at `GROUP_BYTES` of text or `GROUP_PAIRS` frequencies; one document
+that is longer is a group of its own.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens). Null or repeated ids: one row out for each
 row in. An empty table gives no rows. Other columns, whatever their names, are not read.
@@ -22,38 +23,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptframe.llm.buffers import Vocabulary, blocks, range_hashes
-from conceptframe.llm.shared import documents, kept
+from conceptframe.llm.shared import documents, kept, spread
 from conceptframe.llm.tokenizing import counted, odd_rows, piece_starts
 
 NAME = "op9_token_counts"
 SQL = None  # a tokenizer is no SQL; tests hold it against the library itself
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
-GROUP_BYTES, GROUP_PAIRS = 32 << 20, 4_000_000
-#: Frequencies travel in 16 bits; a larger one is several.
-MOST = 0xFFFF
+GROUP_BYTES, GROUP_PAIRS = 24 << 20, 3_000_000
+#: Groups that one task joins to their counts.
+GROUPS_A_TASK = 8
+PACKED = ("sizes", "whole", "each", "places", "times")
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2^32 - 1, lowest bytes first, compressed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def restored(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 class Group:
-    """Documents of one group: their pieces' frequencies, and the distinct pieces."""
+    """Documents of one group: how often each has which piece, and the distinct pieces."""
 
-    def __init__(self, name: str):
-        self.name, self.serial, self.new = name, 0, []
-        self.told = Vocabulary(self.note)  # pieces whose text this task has sent
+    def __init__(self, name: str, buckets: int):
+        self.name, self.buckets = name, buckets
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.sizes, self.whole, self.pairs = [], [], [], []
-        self.texts, self.bytes, self.held = [], 0, 0
+        self.numbers = Vocabulary(self.note, most=1 << 62)  # the group's end bounds it
+        self.pieces, self.fresh = [], []
+        self.ids, self.sizes, self.whole, self.each, self.owned, self.times = [], [], [], [], [], []
+        self.bytes, self.held = 0, 0
 
     def note(self, pieces: list[bytes]) -> np.ndarray:
-        self.new = pieces
-        self.serial += len(pieces)
-        return np.arange(self.serial - len(pieces), self.serial)
+        self.pieces += pieces
+        return np.arange(len(self.pieces) - len(pieces), len(self.pieces))
 
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         rows = len(offsets) - 1
@@ -69,66 +83,69 @@ class Group:
         safe = ~np.isin(row, odd)
         starts, ends, row = starts[safe], ends[safe], row[safe]
         keys, first, inverse = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        lengths = (ends - starts)[first]
-        before, self.new = self.serial, []
-        serials = self.told(data, starts[first], ends[first], keys)
-        fresh = serials >= before
-        self.texts.append((keys[fresh], lengths[fresh], self.new))
-        pair, times = np.unique(row * max(len(keys), 1) + inverse, return_counts=True)
-        self.pairs.append((np.bincount(pair // max(len(keys), 1), minlength=rows), pair % max(len(keys), 1), times, keys, lengths))
+        before = len(self.pieces)
+        numbers = self.numbers(data, starts[first], ends[first], keys)
+        self.fresh.append(keys[numbers >= before])  # in the order of `note`
+        width = max(len(keys), 1)
+        pair, times = np.unique(row * width + inverse, return_counts=True)
+        self.each.append(np.bincount(pair // width, minlength=rows))
+        self.owned.append(numbers[pair % width].astype(np.uint32))
+        self.times.append(times.astype(np.uint32))
         self.ids.append(ids)
         self.sizes.append(np.diff(offsets))
         self.whole.append(whole)
         self.bytes += len(data)
         self.held += len(pair)
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        """One packed row, a row for each distinct piece, and the texts not sent before."""
-        keys, first, inverse = np.unique(np.concatenate([p[3] for p in self.pairs]), return_index=True, return_inverse=True)
-        lengths = np.concatenate([p[4] for p in self.pairs])[first]
-        shifts = np.cumsum([0] + [len(p[3]) for p in self.pairs[:-1]])
-        at = inverse[np.concatenate([p[1] + s for p, s in zip(self.pairs, shifts)])]
-        place = np.empty(len(keys), np.int64)  # frequent pieces get small places, which pack well
-        place[np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")] = np.arange(len(keys))
-        each, times = np.concatenate([p[0] for p in self.pairs]), np.concatenate([p[2] for p in self.pairs])
-        often = -(-times // MOST)
-        if (often > 1).any():
-            each = np.add.reduceat(np.append(often, 0), np.minimum(np.cumsum(each) - each, len(often))) * (each > 0)
-            rest = np.repeat(times, often)
-            last = np.cumsum(often) - 1
-            at = np.repeat(at, often)
-            left = times - (often - 1) * MOST
-            times = np.minimum(rest, MOST)
-            times[last] = left
+    def rows(self) -> Iterator[dict[str, pa.Array]]:
+        """The packed documents, and the pieces of each bucket in byte order."""
+        pieces = self.pieces
+        bucket = (np.concatenate(self.fresh) % np.uint64(self.buckets)).astype(np.int64)
+        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
+        by_bucket = np.argsort(bucket, kind="stable").tolist()
+        order, found, texts, lengths = [], [], [], []
+        for b, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
+            if end > start:
+                own = sorted(by_bucket[start:end], key=pieces.__getitem__)
+                order += own
+                found.append(b)
+                texts.append(zstandard.compress(b"".join(map(pieces.__getitem__, own)), 3))
+                lengths.append(squeezed(np.fromiter((len(pieces[i]) for i in own), np.int64, len(own))))
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(pieces))
+        each = np.concatenate(self.each)
+        at, times = place[np.concatenate(self.owned)], np.concatenate(self.times)
+        document = np.repeat(np.arange(len(each)), each)
+        kept_order = np.lexsort((at, document))
+        at, times = at[kept_order], times[kept_order]
+        steps = np.diff(at, prepend=0)
+        firsts = (np.cumsum(each) - each)[each > 0]
+        steps[firsts] = at[firsts]  # each document's places ascend from its first
         ids = pa.concat_arrays(self.ids)
-        packed = {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                  **{name: pa.array([value.tobytes()], pa.binary()) for name, value in (
-                      ("sizes", np.concatenate(self.sizes).astype("<i8")), ("whole", np.concatenate(self.whole).astype("<i8")),
-                      ("each", each.astype("<i8")), ("places", place[at].astype("<u4")), ("times", times.astype("<u2")))}}
-        yield {"group": pa.array([number]), **packed}
-        yield {"group": pa.array(np.full(len(keys), number)), "place": pa.array(place), "hash": pa.array(keys.view(np.int64)), "length": pa.array(lengths)}
-        yield {"hash": pa.array(np.concatenate([t[0] for t in self.texts]).view(np.int64)), "length": pa.array(np.concatenate([t[1] for t in self.texts])),
-               "piece": pa.array([p for t in self.texts for p in t[2]], pa.binary())}
-
-
-def gathered(rows: DataFrame, name: str, group_bytes: int = GROUP_BYTES, group_pairs: int = GROUP_PAIRS) -> DataFrame:
-    """Packed groups, the distinct pieces they ask for, and texts of pieces, told apart by what is null."""
+        packed = (np.concatenate(self.sizes), np.concatenate(self.whole), each, steps, times)
+        yield {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+               **{name: pa.array([squeezed(value)], pa.binary()) for name, value in zip(PACKED, packed)}}
+        if found:
+            yield {"bucket": pa.array(found, pa.int32()), "texts": pa.array(texts, pa.binary()), "lengths": pa.array(lengths, pa.binary())}
+
+
+def gathered(rows: DataFrame, name: str, buckets: int, group_bytes: int = GROUP_BYTES, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """Packed groups (bucket is null) and the pieces that each group sends to each bucket (ids are null)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    columns = (f"group bigint, ids array<{kind}>, sizes binary, whole binary, each binary, places binary, times binary, "
-               "place bigint, hash bigint, length bigint, piece binary")
-    names = [c.split()[0] for c in columns.split(", ")]
+    binary = ("texts", "lengths", *PACKED)
+    names = ["group", "ids", "bucket", *binary]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, number, types = Group(name), TaskContext.get().partitionId() << 32, None
+        group, number, types = Group(name, buckets), TaskContext.get().partitionId() << 32, {}
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for columns in group.rows(number):
+            for columns in group.rows():
                 n = len(next(iter(columns.values())))
+                columns["group"] = pa.array(np.full(n, number))
                 yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c]) for c in names], names)
 
         for batch, data, offsets in blocks(batches):
-            types = types or {"group": pa.int64(), "ids": pa.list_(batch.column("doc_id").type), "place": pa.int64(), "hash": pa.int64(), "length": pa.int64(),
-                              **{c: pa.binary() for c in ("sizes", "whole", "each", "places", "times", "piece")}}
+            types = {"ids": pa.list_(batch.column("doc_id").type), "bucket": pa.int32(), **dict.fromkeys(binary, pa.binary())}
             group.add(batch.column("doc_id"), data, offsets)
             if group.bytes >= group_bytes or group.held >= group_pairs:
                 yield from sent()
@@ -137,49 +154,55 @@ def gathered(rows: DataFrame, name: str, group_bytes: int = GROUP_BYTES, group_p
         if group.ids:
             yield from sent()
 
-    return rows.mapInArrow(work, columns)
+    return rows.mapInArrow(work, f"group bigint, ids array<{kind}>, bucket int, " + ", ".join(f"{c} binary" for c in binary))
 
 
-def piece_counts(table: DataFrame, name: str) -> DataFrame:
-    """hash, length, n: tokens of each distinct piece, counted once for the whole corpus."""
+def piece_counts(table: DataFrame, name: str, buckets: int) -> DataFrame:
+    """group, bucket, counts: tokens of the pieces that a group sent, each distinct one counted once in its bucket."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(lambda pieces: counted(name, [p.decode() for p in pieces]))
         for batch in batches:
-            n = counted(name, [p.decode() for p in batch.column("piece").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("length"), pa.array(n)], ["hash", "length", "n"])
+            counts = []
+            for texts, lengths in zip(batch.column("texts").to_pylist(), batch.column("lengths").to_pylist()):
+                data, ends = np.frombuffer(zstandard.decompress(texts), np.uint8), np.cumsum(restored(lengths))
+                starts = np.append(0, ends[:-1])
+                counts.append(squeezed(known(data, starts, ends, range_hashes(data, starts, ends))))
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("bucket"), pa.array(counts, pa.binary())], ["group", "bucket", "counts"])
 
-    once = table.filter("piece is not null").groupBy("hash", "length").agg(F.max("piece").alias("piece"))
-    return once.mapInArrow(work, "hash bigint, length bigint, n bigint")
+    sent = table.filter("bucket is not null").select("group", "bucket", "texts", "lengths")
+    return sent.repartition(buckets, "bucket").mapInArrow(work, "group bigint, bucket int, counts binary")
 
 
 def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, id_column: str = "doc_id",
                  text_column: str = "text", group_bytes: int = GROUP_BYTES, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """id, n_bytes, n_tokens and whether there are more tokens than `limit`."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    table = kept(gathered(rows, name, group_bytes, group_pairs), "pieces")
-    # a place and its count share one long: a group's answers are one flat list
-    answer = F.shiftleft(F.col("place"), 32) + F.col("n")
-    answers = (table.filter("place is not null").select("group", "place", "hash", "length").join(piece_counts(table, name), ["hash", "length"])
-               .groupBy("group").agg(F.collect_list(answer).alias("answers")))
-    packed = table.filter("ids is not null").select("group", "ids", "sizes", "whole", "each", "places", "times")
+    kind, buckets = rows.schema["doc_id"].dataType.simpleString(), spread(docs.sparkSession)
+    table = kept(gathered(rows, name, buckets, group_bytes, group_pairs), "pieces")
+    packed = table.filter("ids is not null").select("group", "ids", *PACKED)
+    tasks = spread(docs.sparkSession, packed.count() // GROUPS_A_TASK)
+    answers = (piece_counts(table, name, buckets).repartition(tasks, "group")
+               .groupBy("group").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("answers")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                def held(column: str, of: str) -> np.ndarray:
-                    return np.frombuffer(batch.column(column)[i].as_py(), of)
-                own = batch.column("answers")[i].values
-                own = np.zeros(0, np.int64) if own is None else own.to_numpy(zero_copy_only=False)
-                counts = np.zeros(len(own), np.int64)
-                counts[own >> 32] = own & 0xFFFFFFFF
-                sums = np.concatenate([[0], np.cumsum(counts[held("places", "<u4")] * held("times", "<u2"))])
-                ends = np.cumsum(held("each", "<i8"))
-                tokens = held("whole", "<i8") + sums[ends] - sums[ends - held("each", "<i8")]
+                sizes, whole, each, steps, times = (restored(batch.column(c)[i].as_py()) for c in PACKED)
+                own = [restored(a["counts"]) for a in batch.column("answers")[i].as_py() or []]
+                counts = np.concatenate(own) if own else np.zeros(0, np.int64)
+                ends = np.cumsum(each)
+                begins = ends - each
+                places = np.cumsum(steps)
+                before = np.append(0, places)[begins]  # what earlier documents' steps add up to
+                places -= np.repeat(before, each)
+                sums = np.append(0, np.cumsum(counts[places] * times))
+                tokens = whole + sums[ends] - sums[begins]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[i].values, pa.array(held("sizes", "<i8")), pa.array(tokens), pa.array(tokens > limit)],
+                    [batch.column("ids")[i].values, pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return packed.join(answers, "group", "left").mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return (packed.repartition(tasks, "group").join(answers, "group", "left")
+            .mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
