@@ -7,8 +7,10 @@ score of every query is dropped, and the survivors are moved together. What the
 sets the bar for its next block. Each task gives k rows for a query at most, and those meet in one
 last ranking.
 
-Components are integers, floor(1024 x), and scores are exact integers. The queries travel in blocks
-of at most `QUERY_BYTES`; a larger query set means more passes over the candidates, not more memory.
+Components are integers, floor(1024 x), and scores are exact integers. Where a block's components are so
+large that a score could pass 2^53, its scores are worked out in whole numbers instead of doubles, without
+the bounds; a score that no long can hold counts as the nearest long. The queries travel in blocks of at
+most `QUERY_BYTES`; a larger query set means more passes over the candidates, not more memory.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an
 id. Shorter vectors count as filled up with zeros. A query's own id is no candidate of it; repeated
@@ -51,7 +53,23 @@ def vectors(batch: pa.RecordBatch, id_column: str, column: str) -> tuple[np.ndar
     out = np.zeros((len(lengths), width))
     out[row, np.arange(len(flat)) - (np.cumsum(lengths) - lengths)[row]] = flat
     good = np.isfinite(out).all(1)
-    return batch.column(id_column).to_numpy(zero_copy_only=False).astype(np.int64)[good], np.floor(SCALE * out[good])
+    return batch.column(id_column).to_numpy(zero_copy_only=False).astype(np.int64)[good], scaled(out[good])
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(1024 x); what no double can hold is the largest double."""
+    most = np.finfo(np.float64).max
+    return np.floor(SCALE * np.clip(x, -most / SCALE, most / SCALE))
+
+
+def whole_scores(query: np.ndarray, candidates: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of one query in whole numbers; `most` bounds their size."""
+    if most < 2.0 ** 62:
+        return candidates.astype(np.int64) @ query.astype(np.int64)
+    exact = np.vectorize(int, otypes=[object])
+    sums = exact(candidates) @ exact(query) if candidates.size else np.zeros(len(candidates), object)
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(int(s), ends.min), ends.max) for s in sums], np.int64)
 
 
 def _fit(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,33 +81,41 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.score = np.full((queries, k), -np.inf)
+        self.score = np.full((queries, k), np.iinfo(np.int64).min)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
+        self.found = np.zeros(queries, np.int64)
 
     def bar(self, rows: slice) -> np.ndarray:
-        return self.score[rows, -1]
+        """What a score must reach, as doubles; beyond 2^53 no block that is searched in doubles reaches it."""
+        return np.where(self.found[rows] < self.k, -np.inf, self.score[rows, -1].astype(np.float64))
 
     def add(self, rows: slice, ids: np.ndarray, scores: np.ndarray, able: np.ndarray) -> None:
-        """scores: queries x candidates; able: which of them count."""
+        """scores: queries x candidates, whole numbers; able: which of them count."""
+        scores = scores.astype(np.int64)
         for i, q in enumerate(range(*rows.indices(len(self.score)))):
             at = np.flatnonzero(able[i] & (scores[i] >= self.score[q, -1]))
             if not len(at):
                 continue
             score = np.concatenate([self.score[q], scores[i, at]])
             own = np.concatenate([self.id[q], ids[at]])
+            self.found[q] = min(self.k, self.found[q] + len(at))
             if len(score) > 4 * self.k:
                 edge = np.partition(score, len(score) - self.k)[len(score) - self.k]
                 near = score >= edge
                 score, own = score[near], own[near]
-            order = np.lexsort((own, -score))[:self.k]
+            order = np.lexsort((own, ~score))[:self.k]  # ~ turns the order round and cannot overflow
             self.score[q], self.id[q] = score[order], own[order]
 
 
 def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray) -> None:
     """Branch and bound of all queries over one block of candidates."""
     width = queries.shape[1]
-    if width * np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) >= 2.0 ** 53:
-        raise ValueError("Scores must stay below 2^53 to be exact.")
+    with np.errstate(over="ignore"):
+        most = width * np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0)
+    if most >= 2.0 ** 53:
+        for i in range(len(queries)):
+            best.add(slice(i, i + 1), ids, whole_scores(queries[i], candidates, most)[None], query_ids[i] != ids[None])
+        return
     if not width:
         order = np.array([], np.int64)
     else:  # large parts first, so that the bounds close early
@@ -125,7 +151,7 @@ def query_blocks(rows: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.nd
         if row[0] is None or row[1] is None or any(x is None or not np.isfinite(x) for x in row[1]):
             continue
         ids.append(row[0])
-        held.append(np.floor(SCALE * np.array(row[1], np.float64)))
+        held.append(scaled(np.array(row[1], np.float64)))
         size += 8 * len(row[1])
         if size >= most:
             yield np.array(ids, np.int64), _stacked(held)
@@ -169,10 +195,9 @@ def _pass(spark: SparkSession, rows: DataFrame, ids: np.ndarray, block: np.ndarr
             for start in range(0, len(own), CANDIDATES):
                 part = slice(start, start + CANDIDATES)
                 search_block(best, query_ids, _fit(queries, width), own[part], _fit(values[part], width))
-        some = np.isfinite(best.score)
-        q, place = np.nonzero(some)
+        q, place = np.nonzero(np.arange(k) < best.found[:, None])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q + before), pa.array(query_ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place].astype(np.int64))],
+            [pa.array(q + before), pa.array(query_ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place])],
             ["number", "query_id", "vec_id", "score"])
 
     return rows.mapInArrow(work, "number bigint, query_id bigint, vec_id bigint, score bigint")
