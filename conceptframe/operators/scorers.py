@@ -79,7 +79,10 @@ def query_likelihood(samples: DataFrame, instrument: Instrument, model: Language
     at = {v: i + 1 for i, v in enumerate(vocab)}
     unusable = F.col(text).isNull()
     hits = F.filter("_tokens", lambda t: t.isin(vocab))
-    counts = F.transform(F.lit(vocab), lambda v: F.size(F.filter("_hits", lambda h: h == v)))
+    # Two references keep `_hits` a column of its own; with one, its filter over all tokens would be
+    # moved into the loop over the vocabulary and run once for every term.
+    counts = F.when(F.size("_hits") == 0, F.array_repeat(F.lit(0), len(vocab))).otherwise(
+        F.transform(F.lit(vocab), lambda v: F.size(F.filter("_hits", lambda h: h == v))))
     carried = [k for k in keep if k != "sample_id"]
     listed = [own] if own and own not in carried else []
     # Everything that needs the text happens here, once per material and before the expansion.

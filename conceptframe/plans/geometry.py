@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptframe.functions.numeric import r9
-from conceptframe.operators import geometry, probes
+from conceptframe.operators import geometry, neighbours, probes
 from conceptframe.plans.registry import query
 from conceptframe.sources import tables as T
 
@@ -160,3 +160,13 @@ def logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
     probe = probes.fit_logistic(rows.filter("_h < 0.6"), "x", list(LABELS), dev=rows.filter("_h >= 0.6 and _h < 0.8"))
     out = probe.predict(rows.filter("_h >= 0.8"), "x")
     return out.select("l_orderkey", "l_linenumber", F.lit(probe.penalty).alias("penalty"), F.round("p_r", 7).alias("p_r"), F.round("p_a", 7).alias("p_a"))
+
+
+@query("sample_distance_graph", f"""WITH {VECTORS},
+d AS (SELECT a.sample_id AS s, b.sample_id AS t, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.sample_id <> b.sample_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, t) AS place FROM d)
+SELECT least(s, t) AS source, greatest(s, t) AS target, round(min(d), 9) AS distance FROM r WHERE place <= 5 GROUP BY 1, 2""")
+def sample_distance_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector and its five nearest, as one undirected graph."""
+    graph = neighbours.sample_distance_graph(T.vectors(spark, sf), 5)
+    return graph.withColumn("distance", r9(F.col("distance")))
