@@ -26,7 +26,8 @@ from conceptframe.operators.checks import refuse_rows
 from conceptframe.schema import Refused
 from conceptframe.session import written
 
-#: Pivots, rings of a cell, and members of a chunk. The table of units is PIVOTS * RINGS rows at most.
+#: Pivots and rings of a cell, at most, and members of a chunk. There are no more units than full chunks, since
+#: every unit that cannot be ruled out is a meeting; the table of units is PIVOTS * RINGS rows at most.
 PIVOTS, RINGS, CHUNK = 64, 8, 4096
 UNIT = ["cell", "ring"]
 #: Allowance for rounding where bounds are compared, relative to the lengths involved.
@@ -78,10 +79,10 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(work, "sample_id string, vector array<double>, cell int, away double")
 
 
-def _chunks(rows: DataFrame, k: int, chunk: int) -> DataFrame:
+def _chunks(rows: DataFrame, k: int, rings: int, chunk: int) -> DataFrame:
     """One row for each chunk: ids and vectors, its range of distances to the pivot, and what bounds its members' search."""
-    cuts = rows.groupBy("cell").agg(F.percentile_approx("away", F.lit([i / RINGS for i in range(1, RINGS)])).alias("cuts"))
-    ringed = rows.join(F.broadcast(cuts), "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("away")))).drop("cuts")
+    cuts = rows.groupBy("cell").agg(F.percentile_approx("away", F.lit([i / rings for i in range(1, rings + 1)])).alias("cuts"))
+    ringed = rows.join(F.broadcast(cuts), "cell").withColumn("ring", F.size(F.filter(F.slice("cuts", 1, rings - 1), lambda c: c < F.col("away")))).drop("cuts")
     sizes = ringed.groupBy(*UNIT).agg(F.ceil(F.count("*") / chunk).alias("parts"))
     dealt = ringed.join(F.broadcast(sizes), UNIT).withColumn("part", F.pmod(F.xxhash64("sample_id"), F.col("parts"))).drop("parts")
 
@@ -127,12 +128,14 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, *, pivots: int = PIVOTS, chu
     rows = rows.withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
     place = F.row_number().over(W.partitionBy("vector").orderBy("sample_id"))
     first = written(rows.withColumn("_place", place).filter(F.col("_place") <= k + 1).drop("_place"), "firsts")
+    units = max(1, first.count() // chunk)
+    pivots = min(pivots, units)
     chosen = first.orderBy(F.sha2("sample_id", 256), "sample_id").limit(pivots).select("vector").collect()
     if not chosen:
         return spark.createDataFrame([], "sample_id string, neighbour string, distance double")
     middle = np.array([r["vector"] for r in chosen], float).reshape(len(chosen), -1)
 
-    packed = written(_chunks(_assigned(first, middle), k, chunk), "chunks")
+    packed = written(_chunks(_assigned(first, middle), k, min(RINGS, -(-units // pivots)), chunk), "chunks")
     units = packed.groupBy(*UNIT).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bound").alias("bound")).toPandas()
     pairs = spark.createDataFrame(_meetings(units, middle))
     other = packed.select(F.col("cell").alias("to_cell"), F.col("ring").alias("to_ring"), F.col("part").alias("to_part"), F.col("ids").alias("to_ids"), F.col("data").alias("to_data"))
