@@ -107,10 +107,15 @@ def recompute_audit(rows: DataFrame, report: DataFrame, keys: Sequence[str], val
     return both.select(*keys, off.alias("difference"), F.coalesce(off <= tolerance, F.lit(False)).alias("ok"))
 
 
-def digest_audit(recorded: DataFrame, actual: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
-    """Recorded digests that the actual files do not have."""
-    return (recorded.join(actual.select(path, F.col(digest).alias("_actual")), path, "left")
-            .filter(F.col("_actual").isNull() | (F.col("_actual") != F.col(digest))).select(path, digest, F.col("_actual").alias("actual")))
+def digest_audit(recorded: DataFrame, actual: DataFrame, path: str = "path", digest: str = "digest", key: str | None = None) -> DataFrame:
+    """Recorded digests that the actual files do not have: a file is gone, or has another digest.
+
+    Files are told apart by `key`, by their path without one; several files may share a path then.
+    """
+    key = key or path
+    there = actual.select(F.col(key).alias("_key"), F.col(digest).alias("_actual"), F.lit(True).alias("_there"))
+    both = recorded.join(there, F.col(key) == F.col("_key"), "left")
+    return both.filter(F.col("_there").isNull() | ~F.col("_actual").eqNullSafe(F.col(digest))).select(path, digest, F.col("_actual").alias("actual"))
 
 
 def membership_audit(used: DataFrame, registered: DataFrame, roles: DataFrame, group: str, role: str) -> DataFrame:
