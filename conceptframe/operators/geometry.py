@@ -149,14 +149,16 @@ def predict_scores(rows: DataFrame, vector: str, weights: Sequence[float], bias:
     return rows.withColumn(name, refused_if(wrong, "A vector has another length than the probe", projected(F.col(vector), weights, bias)))
 
 
-def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 300, seed: int = 42, starts: int = 10) -> tuple[DataFrame, np.ndarray, float]:
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 300, seed: int = 42, starts: int = 10,
+           settled: bool = True) -> tuple[DataFrame, np.ndarray, float]:
     """Rows with their cluster, the centres and the inertia of the best of several starts.
 
     The first centres of a start are the different vectors with the smallest digests (of the smallest key
     that has the vector). A round is one pass for all starts: each row finds its centre among k constants,
     each task adds up its own rows, and starts x k sums come back. A start ends when no centre moves; empty
     clusters keep their centre. Ties of inertia go to the earlier start. More than `rounds` rounds stop the
-    job rather than give centres that still move.
+    job rather than give centres that still move; if they need not be `settled`, the centres after that many
+    rounds are taken.
     """
     kinds = rows.filter(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("_v")).agg(F.min(F.col(key).cast("string")).alias("_key"))
     first = None
@@ -176,7 +178,7 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 300, se
         centres = new
         if not moving:
             break
-    else:
+    if moving and settled:
         raise Refused(f"Centres still move after {rounds} rounds.")
     inertia = [r.d for r in _inertia(rows, vector, centres).groupBy("start").agg(F.sum("d").alias("d")).orderBy("start").collect()]
     best = int(np.argmin(inertia))
