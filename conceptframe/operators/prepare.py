@@ -192,9 +192,13 @@ def unmark_target(marked: Column) -> Column:
 
 # --- selection by digest -----------------------------------------------------------------------
 
-def rank_terms(terms: DataFrame, pair: str, term: str, n: int = 128) -> DataFrame:
-    """Concept bank: one vote per pair, ordered by votes then term."""
-    votes = terms.select(pair, term).distinct().groupBy(term).agg(F.count("*").alias("votes"))
+def rank_terms(terms: DataFrame, pair: str, term: str, n: int = 128, different: bool = False) -> DataFrame:
+    """Concept bank: one vote per pair, ordered by votes then term.
+
+    Where the rows are `different` already, votes are counted map-side and only terms travel.
+    """
+    rows = terms.select(pair, term)
+    votes = (rows if different else rows.distinct()).groupBy(term).agg(F.count("*").alias("votes"))
     return at_least(votes.orderBy(F.desc("votes"), term).limit(n), n, "The bank has too few terms")
 
 
