@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from conceptframe.functions.numeric import pearson
 from conceptframe.operators.checks import refused_if
 from conceptframe.operators.ordering import mid_ranks, running_sums, value_bucket
+from conceptframe.session import written
 
 
 # --- alignment ---------------------------------------------------------------------------------
@@ -120,7 +121,8 @@ def retrieval_metrics(rows: DataFrame, query: str, order: str, ks: Sequence[int]
 def spearman(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Spearman with mid-ranks per key over pairwise complete rows; NULL if a side is constant."""
     rows = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    cells = rows.groupBy(*keys, "_a", "_b").agg(F.count("*").cast("double").alias("_w"))
+    # ranks read the pairs of values several times; they are written, so that the rows are gone through once
+    cells = written(rows.groupBy(*keys, "_a", "_b").agg(F.count("*").cast("double").alias("_w")), "value-pairs")
     for side in ("_a", "_b"):
         cells = cells.join(mid_ranks(cells, keys, side, f"r{side}", F.col("_w")), [*keys, side])
     n, w = F.sum("_w"), F.col("_w")
