@@ -213,7 +213,7 @@ def edge_bootstrap(rows: DataFrame, group: str, vector: str, reference: str, rep
 
 # --- controls ----------------------------------------------------------------------------------
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 4 << 20
 FACTOR_BITS = 20
 
 
@@ -261,30 +261,35 @@ def column_null(rows: DataFrame, key: str, vector: str, seed: int = 42, common:
             order = np.argsort(to // size, kind="stable")
             to, column, x = to[order], column[order], x[order]
             cuts = np.flatnonzero(np.diff(to // size)) + 1
-            packs = [(int(t[0] // size), t.tobytes(), c.tobytes(), v.tobytes(), None) for t, c, v in zip(*(np.split(a, cuts) for a in (to, column, x))) if len(t)]
+            packs = [(int(t[0] // size), (t % size).astype(np.int32).tobytes(), c.tobytes(), v.tobytes(), None) for t, c, v in zip(*(np.split(a, cuts) for a in (to, column, x))) if len(t)]
             own = np.argsort(place // size, kind="stable")
             for part in np.split(own, np.flatnonzero(np.diff(place[own] // size)) + 1):
-                packs.append((int(place[part[0]] // size), place[part].tobytes(), None, None, ids.take(pa.array(part)).to_pylist()))
+                packs.append((int(place[part[0]] // size), (place[part] % size).astype(np.int32).tobytes(), None, None, ids.take(pa.array(part)).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packs), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())))],
                                              ["bucket", "at", "column", "x", "ids"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, values, ids = None, None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(values.tolist(), pa.list_(pa.float64()))], ["_id", "_v"])
+
+        def done() -> pa.RecordBatch:
+            ends = np.arange(0, values.size + 1, width, dtype=np.int32) if width else np.zeros(len(ids) + 1, np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))], ["_id", "_v"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
+            buckets, places, columns, xs, names = (batch.column(c) for c in ("bucket", "at", "column", "x", "ids"))
+            for t in range(batch.num_rows):  # one pack at a time, read where it lies
+                if buckets[t].as_py() != now:
                     if now is not None:
                         yield done()
-                    now = row["bucket"]
+                    now = buckets[t].as_py()
                     rows_here = min(size, count - now * size)
                     values, ids = np.zeros((rows_here, width)), [None] * rows_here
-                at = np.frombuffer(row["at"], np.int64) - now * size
-                if row["ids"] is not None:
-                    for p, i in zip(at.tolist(), row["ids"]):
+                at = np.frombuffer(places[t].as_buffer(), np.int32)
+                if names[t].is_valid:
+                    for p, i in zip(at.tolist(), names[t].as_py()):
                         ids[p] = i
                 else:
-                    values[at, np.frombuffer(row["column"], np.int32)] = np.frombuffer(row["x"])
+                    values[at, np.frombuffer(columns[t].as_buffer(), np.int32)] = np.frombuffer(xs[t].as_buffer())
         if now is not None:
             yield done()
 
