@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conceptframe.operators.checks import refuse_rows, refused_if
@@ -22,19 +23,21 @@ def merge_shards(tables: Sequence[DataFrame], expected: DataFrame, cells: int) -
     """Disjoint sample shards of one measurement; every expected sample has its `cells` cells once.
 
     A sample in two shards, an unexpected or missing one, an incomplete one or a second measurement
-    stops the job. The rule runs on one row for each sample and is part of the result's plan.
+    stops the job. The rows are gone through once: the rule stands beside each of them, among the cells of
+    its sample, and is part of the result's plan.
     """
     rows = _union(tables)
-    ids = rows.agg(F.count_distinct("measurement_id")).first()[0]
-    refuse_rows(rows.sparkSession.range(1).filter(F.lit(ids > 1)), "Shards of different measurements")
-    per = rows.groupBy("sample_id").agg(F.count_distinct("_part").alias("_parts"), F.count("*").alias("_n"),
-                                        F.count_distinct("anchor_id", "bridge_id").alias("_d"))
+    one = rows.select("measurement_id").limit(1).collect()
+    sample = W.partitionBy("sample_id")
+    marked = rows.select("*", F.min("_part").over(sample).alias("_first"), F.max("_part").over(sample).alias("_last"), F.count("*").over(sample).alias("_n"),
+                         F.count("*").over(W.partitionBy("sample_id", "anchor_id", "bridge_id")).alias("_same"))
     known = expected.select("sample_id").distinct().withColumn("_known", F.lit(1))
-    both = per.join(known, "sample_id", "full_outer")
-    good = (F.col("_parts") == 1) & (F.col("_n") == cells) & (F.col("_d") == cells) & F.col("_known").isNotNull()
-    checked = both.select("sample_id", refused_if(~F.coalesce(good, F.lit(False)), "A sample is missing, strange, repeated or incomplete", F.lit(1)).alias("_ok"))
-    # from the samples' side, so that a missing sample cannot drop out unseen
-    return checked.filter("_ok = 1").join(rows, "sample_id").drop("_ok", "_part").select(*tables[0].columns)
+    both = marked.join(known, "sample_id", "full_outer")  # a missing sample cannot drop out unseen
+    good = (F.col("_first") == F.col("_last")) & (F.col("_n") == cells) & (F.col("_same") == 1) & F.col("_known").isNotNull()
+    alone = F.coalesce(F.col("measurement_id") == (one[0][0] if one else None), F.lit(False))
+    fine = (F.when(~F.coalesce(good, F.lit(False)), F.raise_error(F.lit("A sample is missing, strange, repeated or incomplete")).cast("boolean"))
+            .when(~alone, F.raise_error(F.lit("Shards of different measurements")).cast("boolean")).otherwise(True))
+    return both.filter(fine).select(*tables[0].columns)
 
 
 def execution_totals(tables: Sequence[DataFrame]) -> DataFrame:
