@@ -26,9 +26,10 @@ from conceptframe.operators.checks import refuse_rows
 from conceptframe.schema import Refused
 from conceptframe.session import written
 
-#: Pivots and rings of a cell, at most, and members of a chunk. There are no more units than full chunks, since
-#: every unit that cannot be ruled out is a meeting; the table of units is PIVOTS * RINGS rows at most.
-PIVOTS, RINGS, CHUNK = 64, 8, 4096
+#: Pivots and rings of a cell, and members of a chunk, at most. There are no more units than full chunks, since
+#: every unit that cannot be ruled out is a meeting; the table of units is PIVOTS * RINGS rows at most. What the
+#: meetings move shrinks with the size of a chunk; few materials are still cut into CHUNKS parts.
+PIVOTS, RINGS, CHUNK, CHUNKS = 64, 8, 16384, 16
 UNIT = ["cell", "ring"]
 #: Allowance for rounding where bounds are compared, relative to the lengths involved.
 SLACK = 1e-9
@@ -39,6 +40,18 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of a matrix, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return (small if np.array_equal(small, x) else x).tobytes()
+
+
+def _unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * rows * width else np.float64
+    return np.frombuffer(data, kind).reshape(rows, width).astype(float)
+
+
 def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(-1))
 
@@ -48,8 +61,9 @@ def _nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray,
     """For each row of x: the k nearest rows of y within its bound, other than itself, ties to smaller ids."""
     sx, sy = (x * x).sum(1), (y * y).sum(1)
     slack = SLACK * (sx.max(initial=0) + sy.max(initial=0))
-    for start in range(0, len(x), 512):
-        part = slice(start, start + 512)
+    step = max(16, (1 << 21) // max(1, len(y)))  # distances held at once
+    for start in range(0, len(x), step):
+        part = slice(start, start + step)
         near = sx[part, None] + sy[None] - 2 * x[part] @ y.T
         if len(y) > k + 1:  # one of them may be the row itself
             reach = np.partition(near, k, axis=1)[:, k]
@@ -95,7 +109,7 @@ def _chunks(rows: DataFrame, k: int, rings: int, chunk: int) -> DataFrame:
                 bounds[i] = far[-1]
         away = table.column("away").to_numpy()
         return pa.table({"cell": table.column("cell").slice(0, 1), "ring": table.column("ring").slice(0, 1), "part": table.column("part").slice(0, 1), "low": [away.min()], "high": [away.max()],
-                         "bound": [bounds.max()], "ids": pa.array([ids.tolist()], pa.list_(pa.string())), "data": [x.tobytes()], "bounds": [bounds.tobytes()]})
+                         "bound": [bounds.max()], "ids": pa.array([ids.tolist()], pa.list_(pa.string())), "data": [_packed(x)], "bounds": [bounds.tobytes()]})
 
     return dealt.groupBy(*UNIT, "part").applyInArrow(pack, "cell int, ring int, part bigint, low double, high double, bound double, ids array<string>, data binary, bounds binary")
 
@@ -128,12 +142,15 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, *, pivots: int = PIVOTS, chu
     rows = rows.withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
     place = F.row_number().over(W.partitionBy("vector").orderBy("sample_id"))
     first = written(rows.withColumn("_place", place).filter(F.col("_place") <= k + 1).drop("_place"), "firsts")
-    units = max(1, first.count() // chunk)
+    materials = first.count()
+    chunk = min(chunk, max(1024, -(-materials // CHUNKS)))
+    units = max(1, materials // chunk)
     pivots = min(pivots, units)
     chosen = first.orderBy(F.sha2("sample_id", 256), "sample_id").limit(pivots).select("vector").collect()
     if not chosen:
         return spark.createDataFrame([], "sample_id string, neighbour string, distance double")
     middle = np.array([r["vector"] for r in chosen], float).reshape(len(chosen), -1)
+    width = middle.shape[1]
 
     packed = written(_chunks(_assigned(first, middle), k, min(RINGS, -(-units // pivots)), chunk), "chunks")
     units = packed.groupBy(*UNIT).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bound").alias("bound")).toPandas()
@@ -149,7 +166,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, *, pivots: int = PIVOTS, chu
             for t in range(batch.num_rows):
                 tile = {c: batch.column(c)[t].as_py() for c in ("ids", "data", "bounds", "to_ids", "to_data")}
                 ids, others = np.array(tile["ids"], object), np.array(tile["to_ids"], object)
-                x, y = (np.frombuffer(tile[d]).reshape(len(i), -1) for d, i in (("data", ids), ("to_data", others)))
+                x, y = (_unpacked(tile[d], len(i), width) for d, i in (("data", ids), ("to_data", others)))
                 found = list(_nearest(ids, x, others, y, k, np.frombuffer(tile["bounds"])))
                 if found:
                     yield pa.RecordBatch.from_arrays(
