@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 from math import isfinite
 
@@ -158,12 +158,14 @@ def pair_statistics(cells: DataFrame) -> DataFrame:
     return each.groupBy("anchor_id", "b", "c").agg(pearson(F.col("r"), F.col("s")).alias("rho"), F.covar_samp("x", "y").alias("cov"), flat.alias("flat"))
 
 
-def subset_measures(cells: DataFrame, pairs: DataFrame, wordings: Sequence[Bridge], subsets: Sequence[tuple[int, ...]], search: Search = Search()) -> DataFrame:
+def subset_measures(cells: DataFrame, pairs: DataFrame, wordings: Sequence[Bridge], subsets: Sequence[tuple[int, ...]], search: Search = Search(),
+                    every: bool = False) -> DataFrame:
     """One row a subset (numbers into `wordings`): validity, reliability, alpha, lexical diversity, objective.
 
     validity: mean over concepts of the average precision of the mean score; reliability: median over
     concepts of the mean rank agreement of its pairs, moved to 0..1; alpha: median over concepts. A subset
-    with a constant wording is undefined (objective NULL), as is alpha without variance of the sum.
+    with a constant wording is undefined (objective NULL), as is alpha without variance of the sum. With
+    `every`, the other objectives stand beside it, each under its name after an underscore.
     """
     spark, k = cells.sparkSession, len(subsets[0])
     chosen = literal_rows([{"i": i, "m": list(m)} for i, m in enumerate(subsets)], "i int, m array<int>")
@@ -187,8 +189,9 @@ def subset_measures(cells: DataFrame, pairs: DataFrame, wordings: Sequence[Bridg
     reliability, w = (1 + F.col("_rho")) / 2, search.validity_weight
     alpha_all = F.when(F.col("_no_alpha") == 0, F.col("alpha"))
     aims = {"reference_guided": w * F.col("validity") + (1 - w) * reliability, "validity": F.col("validity"), "reliability": reliability, "alpha": alpha_all, "random": F.lit(0.0)}
+    each = [F.when(~F.col("flat"), aims[mode]).alias(f"_{mode}") for mode in MODES] if every else []
     return out.select("bridges", "validity", F.when(~F.col("flat"), reliability).alias("reliability"), alpha_all.alias("alpha"), "lexical_diversity",
-                      F.when(~F.col("flat"), aims[search.objective]).alias("objective"))
+                      F.when(~F.col("flat"), aims[search.objective]).alias("objective"), *each)
 
 
 def best_subset(measures: DataFrame, search: Search) -> dict | None:
@@ -208,6 +211,15 @@ def select_bridge_subset(scores: DataFrame, labels: DataFrame, generations: Sequ
     one with a score missing or not finite is left out and named in the trace. A row whose `split` is not
     train, or a training group that the reference has too, stops it.
     """
+    return select_bridge_subsets(scores, labels, generations, [search], value, groups, reference_groups)[0]
+
+
+def select_bridge_subsets(scores: DataFrame, labels: DataFrame, generations: Sequence[Sequence[Bridge]], searches: Sequence[Search], value: str = "value",
+                          groups: DataFrame | None = None, reference_groups: DataFrame | None = None) -> list[Selected]:
+    """The same for several objectives of one search: cells, pairs and the measures of a subset are worked out once."""
+    search = searches[0]
+    if len({replace(s, objective=search.objective) for s in searches}) != 1:
+        raise Refused("Searches that are done together differ in their objective only.")
     for df in (scores, labels):
         if "split" in df.columns:
             refuse_rows(df.filter("split is null or split <> 'train'").select("split"), "Selection takes training rows only")
@@ -237,7 +249,7 @@ def select_bridge_subset(scores: DataFrame, labels: DataFrame, generations: Sequ
     usable = written(eligible_anchors(labels, search.min_positive, search.min_negative), "eligible")
     eligible = sorted(r.anchor_id for r in usable.filter("eligible").select("anchor_id").collect())
     if not eligible:
-        return Selected("no_eligible_anchors", [b.id for b in seeds[:search.subset_size]], trace=trace)
+        return [Selected("no_eligible_anchors", [b.id for b in seeds[:search.subset_size]], trace=list(trace)) for _ in searches]
     names = [b.id for _, b in accepted]
     keep = F.broadcast(usable.filter("eligible").select("anchor_id"))
     cells = written(packed_cells(scores, labels, names, value).join(keep, "anchor_id", "left_semi"), "cells")
@@ -248,17 +260,27 @@ def select_bridge_subset(scores: DataFrame, labels: DataFrame, generations: Sequ
     good = [n for n, b in enumerate(every) if b.id not in invalid]
     slim = cells.withColumn("v", F.transform("v", lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)))
     pairs = written(pair_statistics(slim.withColumn("v", F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))))), "pairs")
-    chosen, measures = None, {}
-    for g in range(search.rounds + 1):
-        pool = sorted({n for n in good if accepted[n][0] == g} | {place[b] for b in (chosen or [])}, key=lambda n: every[n].id)
-        if g and not any(accepted[n][0] == g for n in good):
-            continue
-        subsets = list(combinations(pool, search.subset_size))
-        found = best_subset(subset_measures(slim, pairs, every, [tuple(sorted(m)) for m in subsets], search), search) if subsets else None
-        if found is None and g == 0:
-            status = "undefined_reliability" if len(pool) >= search.subset_size else "insufficient_valid_bridges"
-            return Selected(status, [every[n].id for n in good[:search.subset_size]], trace=trace, eligible=eligible)
-        if found:
-            chosen, measures = found.pop("bridges"), found
-        trace.append({"generation": g, "selected": chosen, **measures})
-    return Selected("ok", chosen, measures, trace, eligible)
+    held: dict[tuple, DataFrame] = {}
+
+    def measured(subsets: tuple[tuple[int, ...], ...], search: Search) -> DataFrame:
+        if subsets not in held:
+            held[subsets] = written(subset_measures(slim, pairs, every, subsets, search, every=True), "measures")
+        return held[subsets].withColumn("objective", F.col(f"_{search.objective}")).drop(*[f"_{m}" for m in MODES])
+
+    def searched(search: Search, trace: list[dict]) -> Selected:
+        chosen, measures = None, {}
+        for g in range(search.rounds + 1):
+            pool = sorted({n for n in good if accepted[n][0] == g} | {place[b] for b in (chosen or [])}, key=lambda n: every[n].id)
+            if g and not any(accepted[n][0] == g for n in good):
+                continue
+            subsets = tuple(tuple(sorted(m)) for m in combinations(pool, search.subset_size))
+            found = best_subset(measured(subsets, search), search) if subsets else None
+            if found is None and g == 0:
+                status = "undefined_reliability" if len(pool) >= search.subset_size else "insufficient_valid_bridges"
+                return Selected(status, [every[n].id for n in good[:search.subset_size]], trace=trace, eligible=eligible)
+            if found:
+                chosen, measures = found.pop("bridges"), found
+            trace.append({"generation": g, "selected": chosen, **measures})
+        return Selected("ok", chosen, measures, trace, eligible)
+
+    return [searched(s, list(trace)) for s in searches]

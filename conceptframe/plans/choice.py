@@ -118,8 +118,8 @@ def select_bridge_subset(spark: SparkSession, sf: str) -> DataFrame:
     """The chosen subset under each objective."""
     found = []
     scores, labels = selection.written(cells(spark, sf), "scores"), selection.written(concepts(spark, sf), "labels")
-    for mode in selection.MODES:
-        one = selection.select_bridge_subset(scores, labels, [WORDINGS], selection.Search(mode, rounds=0))
+    searches = [selection.Search(mode, rounds=0) for mode in selection.MODES]
+    for mode, one in zip(selection.MODES, selection.select_bridge_subsets(scores, labels, [WORDINGS], searches)):
         found.append((mode, one.status, ",".join(one.bridges), *[one.measures[c] for c in [*ROUNDED, "objective"]]))
     out = spark.createDataFrame(found, "mode string, status string, bridges string, " + ", ".join(f"{c} double" for c in [*ROUNDED, "objective"]))
     return out.select("mode", "status", "bridges", *[r9(F.col(c)).alias(c) for c in [*ROUNDED, "objective"]])
