@@ -72,7 +72,7 @@ def average_precision(rows: DataFrame, keys: Sequence[str], label: str = "label"
     """Non-interpolated AP per key; equal scores share one threshold. NULL without positives."""
     rows = checked(rows, label, score)
     tied = rows.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(F.sum(label).cast("double").alias("_y"), F.count("*").cast("double").alias("_n"))
-    tied = tied.withColumn("_o", -F.col("_s"))
+    tied = written(tied.withColumn("_o", -F.col("_s")), "ties")  # read for the buckets, for their totals and inside them
     run = running_sums(tied, keys, value_bucket(tied, "_o"), [F.col("_o")], {"_cy": F.col("_y"), "_cn": F.col("_n")})
     out = run.groupBy(*keys).agg(F.sum(F.col("_y") * F.col("_cy") / F.col("_cn")).alias("_a"), F.sum("_y").alias("positives"), F.sum("_n").alias("rows"))
     return out.select(*keys, F.try_divide("_a", "positives").alias("ap"), F.col("positives").cast("bigint").alias("positives"), F.col("rows").cast("bigint").alias("rows"))
