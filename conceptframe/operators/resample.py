@@ -29,11 +29,15 @@ def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
     return hash_positions(hashed, "_h", "_number").withColumn("_number", F.col("_number") - 1).drop("_h")
 
 
-def group_weights(spark, groups: int, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """(replicate, _number, weight): whole groups drawn with replacement, as many as there are."""
+def draws(spark, groups: int, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """(replicate, _number): whole groups drawn with replacement, as many as there are, a row for each draw."""
     pairs = spark.range(replicates * groups).select((F.col("id") % replicates).alias("replicate"), F.expr(f"id div {replicates}").alias("pick"))
-    return (pairs.select("replicate", (draw(seed, F.col("replicate"), F.col("pick")) % groups).alias("_number"))
-            .groupBy("replicate", "_number").agg(F.count("*").alias("weight")))
+    return pairs.select("replicate", (draw(seed, F.col("replicate"), F.col("pick")) % groups).alias("_number"))
+
+
+def group_weights(spark, groups: int, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """(replicate, _number, weight): how often each group is drawn, of those that are."""
+    return draws(spark, groups, replicates, seed).groupBy("replicate", "_number").agg(F.count("*").alias("weight"))
 
 
 def bootstrap_sums(rows: DataFrame, group: str, sums: dict[str, Column], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:

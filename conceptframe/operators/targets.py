@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptframe.functions.numeric import weighted_pearson
 from conceptframe.operators.checks import refused_if
-from conceptframe.operators.ordering import mid_ranks
+from conceptframe.operators.drawranks import rank_correlation_draws
 from conceptframe.operators.resample import REPLICATES, group_weights, interval, numbered_groups
 from conceptframe.session import written
 
@@ -28,16 +28,11 @@ def correlation_draws(rows: DataFrame, target: str, x: str, y: str, statistic: s
     count, mx, my = numbered.agg(F.count("*"), F.avg("x"), F.avg("y")).first()
     if count < 2:
         raise ValueError("A bootstrap of targets needs at least two.")
+    if statistic == "spearman":
+        return rank_correlation_draws(numbered, count, replicates, seed)
     centred = numbered.select("_number", (F.col("x") - mx).alias("x"), (F.col("y") - my).alias("y"))
     point = centred.select(F.lit(-1).cast("bigint").alias("replicate"), F.lit(1).cast("bigint").alias("weight"), "x", "y")
     drawn = group_weights(rows.sparkSession, count, replicates, seed).join(centred, "_number").select("replicate", "weight", "x", "y").unionByName(point)
-    if statistic == "spearman":
-        drawn = written(drawn, "draws")
-        for side in ("x", "y"):
-            ranks = mid_ranks(drawn, ["replicate"], side, "_r", F.col("weight"))
-            drawn = drawn.join(ranks, ["replicate", side]).drop(side).withColumnRenamed("_r", side)
-        middle = drawn.groupBy("replicate").agg(((F.sum("weight") + 1) / 2).alias("_m"))
-        drawn = drawn.join(middle, "replicate").select("replicate", "weight", (F.col("x") - F.col("_m")).alias("x"), (F.col("y") - F.col("_m")).alias("y"))
     return drawn.groupBy("replicate").agg(weighted_pearson(F.col("weight").cast("double"), F.col("x"), F.col("y")).alias("v"))
 
 
