@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptframe.llm.buffers import U64, Vocabulary, blocks, mix, range_hashes, ranges, row_numbers, spans
-from conceptframe.llm.shared import documents
+from conceptframe.llm.shared import documents, give_back
 
 NAME = "op4_toxicity_kernel_svm"
 SQL = None  # tests: kernel against its definition, folded table against landmarks, disguises, held-out accuracy
@@ -527,7 +527,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_column:
     rows = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).cast("string").alias("_text")).join(
         F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_toxic", F.coalesce("_text", F.lit("")).alias("_text")).toPandas()
     rows = rows.sort_values(["_id", "_text"], kind="stable")
-    return fit([t.encode() for t in rows["_text"]], rows["_toxic"].to_numpy(bool))
+    texts, toxic = [t.encode() for t in rows["_text"]], rows["_toxic"].to_numpy(bool)
+    del rows
+    model = fit(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
