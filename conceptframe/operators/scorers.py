@@ -68,10 +68,10 @@ def fit_language_model(train: DataFrame, instrument: Instrument, text: str = "te
 
 def query_likelihood(samples: DataFrame, instrument: Instrument, model: LanguageModel, *, text: str = "text",
                      keep: Sequence[str] = (), media_missing: Column | None = None,
-                     token_details: bool = False, own: str | None = None) -> DataFrame:
+                     token_details: bool = False, own: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """Score table of `samples` (sample_id, text, ...): sum of log P(token | material + bridge).
 
-    With `own`, a column of anchor ids, a material meets only those. A score depends on its own anchor only, so adding anchors never moves the others. The whole
+    With `only`, a table of different sample_ids, no others are scored; counts meet it, texts do not travel. With `own`, a column of anchor ids, a material meets only those. A score depends on its own anchor only, so adding anchors never moves the others. The whole
     computation is a narrow map: term counts are taken per material, before the expansion, and the
     instrument enters as literals.
     """
@@ -91,6 +91,8 @@ def query_likelihood(samples: DataFrame, instrument: Instrument, model: Language
                            *([media_missing.alias("_missing")] if media_missing is not None else []))
             .withColumn("_hits", hits)
             .withColumn("_len", F.size("_tokens")).withColumn("_tf", counts).drop("_tokens", "_hits"))
+    if only is not None:  # no semi join, which would be moved below the counts
+        base = base.join(only, "sample_id")
     bridges = []
     for b in instrument.bridges:
         words = surface_tokens(b.prefix)

@@ -129,16 +129,11 @@ def cache_split(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of training material are cached; the replay serves them and only the rest is scored."""
     model = T.language_model(spark, sf)
     stored = T.scores(spark, sf, keep=("content",), where="split = 'train'", model=model)
-    cache = grid.content_key(stored, T.STUDY, F.col("content")).dropDuplicates(["content_key"])
-    cells = grid.content_key(grid.grid(T.samples(spark, sf).select("sample_id", "split", "content"), T.STUDY), T.STUDY, F.col("content"))
 
-    def score(pending: DataFrame) -> DataFrame:
-        # one material for each content; no text is in a shuffle but that of the materials to score
-        one = pending.groupBy("content").agg(F.min("sample_id").alias("sample_id"))
-        docs = T.samples(spark, sf).join(one.select("sample_id"), "sample_id", "left_semi")
-        return grid.content_key(scorers.query_likelihood(docs, T.STUDY, model, keep=("content",)), T.STUDY, F.col("content"))
+    def score(one: DataFrame) -> DataFrame:
+        return scorers.query_likelihood(T.samples(spark, sf), T.STUDY, model, keep=("content",), only=one)
 
-    rows, _ = grid.with_cache(cells, cache, score)
+    rows = grid.replayed(T.samples(spark, sf).select("sample_id", "split", "content"), stored, T.STUDY, score)
     return rows.groupBy("split").agg(F.count("*").alias("n_cells"), F.count_if("cache_hit").alias("n_hits"),
                                      F.round(F.sum("raw_logp"), 6).alias("sum_logp"))
 
